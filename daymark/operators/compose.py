@@ -124,8 +124,8 @@ def edge_stream(events: DataFrame, index: DataFrame) -> DataFrame:
     hosts = index.filter("kind = 'host'").select(F.col("node").alias("dst_host"), F.col("idx").alias("h"))
     edges = events.join(users, "user").join(hosts, "dst_host").select(
         "dataset", "event_id", tp.micros(F.col("timestamp")).alias("t"), "u", "h",
-        action_id(F.col("action")).cast("long").alias("a"), F.col("label").alias("y"),
+        action_id(F.col("action")).cast("long").alias("a"), F.col("label").alias("y"), "action",
     )
-    return ranked(edges, ["dataset"], [F.col("t"), F.col("event_id")]).withColumnRenamed("rank", "position").drop(
-        "group_size"
+    return ranked(edges, ["dataset"], [F.col(c) for c in ("t", "event_id", "u", "h", "action")]).withColumnRenamed("rank", "position").drop(
+        "group_size", "action"
     )

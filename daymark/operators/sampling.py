@@ -38,7 +38,7 @@ def interval_sample(events: DataFrame, intervals: DataFrame, fraction: float, ho
 
 def head_sample(events: DataFrame, n: int) -> DataFrame:
     """The first ``n`` events in time."""
-    return events.orderBy("timestamp", "event_id").limit(n)
+    return events.orderBy("timestamp", "event_id", "dataset").limit(n)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, columns: Sequence[str] = ROW_COLUMNS,

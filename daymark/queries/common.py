@@ -24,3 +24,21 @@ def user_days(spark: SparkSession, sf_dir: str, deviation: bool = False) -> Data
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+DOMAINS = ["ev0", "ev1", "ev2", "retail"]
+SEEDS = [0, 1, 2, 3, 4]
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result rows of the model-free grid, computed once per session and kept in the shared folder."""
+    from daymark.plans.score_grid import grid_results
+    from daymark.session import work_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, "results")
+    if key not in _TABLES:
+        path = work_path(spark, "results")
+        grid_results(user_days(spark, sf_dir), DOMAINS, SEEDS).write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daymark import schema as sc
-from daymark.functions import timeparts as tp
 from daymark.operators import compose as cp
 from daymark.operators import features as ft
 from daymark.operators import labels as lb
 from daymark.operators import sampling as sm
 from daymark.operators import splits as sp
-from daymark.operators.ordered import ranked
 from daymark.queries.common import labelled_events, rounded, user_days
 from daymark.queries.registry import cte, draw_sql, query, sql
 from daymark.sources import tables as tb
@@ -154,7 +152,7 @@ def interval_aware_sample(spark, sf_dir):
 
 @query(
     "head_sample",
-    sql('SELECT dataset, event_id, "timestamp" FROM raw ORDER BY "timestamp", event_id LIMIT 5000', "raw"),
+    sql('SELECT dataset, event_id, "timestamp" FROM raw ORDER BY "timestamp", event_id, dataset LIMIT 5000', "raw"),
 )
 def head_sample(spark, sf_dir):
     return sm.head_sample(tb.raw_events(spark, sf_dir), 5000).select("dataset", "event_id", "timestamp")
@@ -341,7 +339,7 @@ def alternative_cuts(spark, sf_dir):
 @query(
     "validation_tail",
     sql(
-        """SELECT dataset, "user", day, CASE WHEN r > n - least(greatest(round_even(n * 0.15, 0), 1), n - 1)
+        """SELECT dataset, "user", day, CASE WHEN r > n - least(greatest(round_even(n * 0.15::DOUBLE, 0), 1), n - 1)
         THEN 'val' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY day, "user") AS r,
         count(*) OVER (PARTITION BY dataset) AS n FROM ud)""",
         "ud",
@@ -354,14 +352,14 @@ def validation_tail(spark, sf_dir):
 def _parts_sql(fraction: float, first: str, second: str, seeds: str, single: str) -> str:
     return f"""
     SELECT dataset, "user", seed, positive_user, CASE WHEN r <= CASE WHEN n >= 2 THEN
-        least(greatest(round_even(n * {fraction}, 0), 1), n - 1) ELSE {single} END THEN '{first}' ELSE '{second}' END AS part
+        least(greatest(round_even(n * {fraction}::DOUBLE, 0), 1), n - 1) ELSE {single} END THEN '{first}' ELSE '{second}' END AS part
     FROM (SELECT *, row_number() OVER (PARTITION BY dataset, seed, positive_user ORDER BY md5(seed || ':' || "user"), "user") AS r,
         count(*) OVER (PARTITION BY dataset, seed, positive_user) AS n
       FROM (SELECT dataset, "user", max(label) AS positive_user FROM ud GROUP BY ALL), (SELECT unnest({seeds}) AS seed))
     """
 
 
-cte("user_parts", _parts_sql(0.7, "train", "test", "[0, 1, 2]", "round_even(n * 0.7, 0)"), "ud")
+cte("user_parts", _parts_sql(0.7, "train", "test", "[0, 1, 2]", "round_even(n * 0.7::DOUBLE, 0)"), "ud")
 cte("val_parts", _parts_sql(0.15, "val", "train", "[0]", "0"), "ud")
 
 
@@ -404,9 +402,6 @@ def chronological_split_report(spark, sf_dir):
 
 @query(
     "user_disjoint_split_report",
-    sql(f"""SELECT dataset, seed, {_REPORT.format(t='day')}, {_BOTH.format(s='parted', m='AND x.seed = e.seed')}
-        FROM parted e GROUP BY dataset, seed""".replace("FROM parted e", "FROM parted e"), "ud", "user_parts").replace(
-        "user_parts AS (", "user_parts AS (", 1) if False else
     "SELECT dataset, seed, " + _REPORT.format(t="day") + ", CAST(0 AS BIGINT) AS users_both FROM (" +
     sql('SELECT u.dataset, u."user", u.day, u.label, p.seed, p.part FROM ud u JOIN user_parts p USING (dataset, "user")',
         "ud", "user_parts") + ") GROUP BY dataset, seed",
@@ -461,26 +456,42 @@ def leave_one_domain_out_folds(spark, sf_dir):
 
 
 _PARITY_COLS = sc.BASE_COLUMNS + ["label"]
+_SUMS = [*sc.COUNT_COLUMNS, "n_events", "off", "s", "ss"]
+cte(
+    "merged",
+    "SELECT m.*, h.n_distinct_hosts, off / n_events AS frac_offhours, s / n_events AS hour_mean, "
+    "CASE WHEN n_events > 1 THEN sqrt(greatest((ss - s * s / n_events) / (n_events - 1), 0)) ELSE 0 END AS hour_std, "
+    "CASE WHEN k.day IS NULL THEN 0 ELSE 1 END AS label FROM (SELECT dataset, \"user\", day, "
+    + ", ".join(f"sum({c})::DOUBLE AS {c}" for c in _SUMS)
+    + " FROM (SELECT dataset, \"user\", day, hour(\"timestamp\") % 5 AS batch, "
+    + ", ".join(f"count(*) FILTER (action = '{a}') AS cnt_{a}" for a in sc.ACTIONS)
+    + ", count(*) AS n_events, count(*) FILTER (hour(\"timestamp\") < 7 OR hour(\"timestamp\") > 19) AS off, "
+    "sum(hour(\"timestamp\")) AS s, sum(hour(\"timestamp\") * hour(\"timestamp\")) AS ss FROM raw GROUP BY ALL) GROUP BY ALL) m "
+    "JOIN (SELECT dataset, \"user\", day, count(DISTINCT dst_host) AS n_distinct_hosts FROM raw GROUP BY ALL) h "
+    "USING (dataset, \"user\", day) LEFT JOIN keys k USING (dataset, \"user\", day)",
+    "raw", "keys",
+)
+
+
+def _parity_sql(columns, other: str) -> str:
+    exact = {*sc.INTEGER_COLUMNS, "label"}
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) FILTER (b.day IS NULL) AS only_a, count(*) FILTER (a.day IS NULL) AS only_b, "
+        f"round(max(abs(a.{c} - b.{c}))::DOUBLE, 6) AS max_abs_diff, max(abs(a.{c} - b.{c})) <= "
+        f"{0 if c in exact else 1e-6} AS within "
+        f"FROM ud a FULL JOIN {other} b ON a.dataset = b.dataset AND a.\"user\" = b.\"user\" AND a.day = b.day"
+        for c in columns
+    )
 
 
-@query(
-    "feature_parity",
-    sql(
-        "SELECT * FROM (" + " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, count(*) FILTER (a.day IS NULL) AS only_b, count(*) FILTER (b.day IS NULL) AS only_a, "
-            f"round(max(abs(a.{c} - b.{c})), 6) AS max_abs_diff FROM ud a FULL JOIN thinned b USING (dataset, \"user\", day)"
-            for c in _PARITY_COLS
-        ) + ")",
-        "ud", "thinned",
-    ) if False else None,
-)
+@query("feature_parity", sql(_parity_sql(_PARITY_COLS, "merged"), "ud", "merged"))
 def feature_parity(spark, sf_dir):
     """Direct aggregation against merged partials: same rows, no difference."""
     raw = tb.raw_events(spark, sf_dir)
     keys = tb.label_keys(raw)
     direct = ft.label_user_days(ft.base_features(raw), keys)
     merged = ft.label_user_days(ft.merge_partials(ft.partial_aggregates(raw), ft.host_pairs(raw)), keys)
-    return cp.feature_parity(direct, merged, _PARITY_COLS)
+    return rounded(cp.feature_parity(direct, merged, _PARITY_COLS), ["max_abs_diff"], 6)
 
 
 cte(
@@ -497,16 +508,7 @@ _THIN = ["n_events", "n_distinct_hosts", "hour_mean", "label"]
 
 @query(
     "sampled_feature_difference",
-    sql(
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, count(*) FILTER (b.day IS NULL) AS only_a, count(*) FILTER (a.day IS NULL) AS only_b, "
-            f"round(max(abs(a.{c} - b.{c})), 6) AS max_abs_diff, max(abs(a.{c} - b.{c})) <= "
-            f"{0 if c in ('n_events', 'n_distinct_hosts', 'label') else 1e-6} AS within "
-            f"FROM ud a FULL JOIN thinned b ON a.dataset = b.dataset AND a.\"user\" = b.\"user\" AND a.day = b.day"
-            for c in _THIN
-        ),
-        "ud", "thinned",
-    ),
+    sql(_parity_sql(_THIN, "thinned"), "ud", "thinned"),
 )
 def sampled_feature_difference(spark, sf_dir):
     raw = tb.raw_events(spark, sf_dir)
@@ -574,7 +576,7 @@ def dense_node_index(spark, sf_dir):
     sql(
         """SELECT dataset, event_id, epoch_us("timestamp") AS t, du.r - 1 AS u, dh.r - 1 AS h,
           CAST(list_position(""" + repr(sc.ACTIONS) + """, action) - 1 AS BIGINT) AS a, label AS y,
-          row_number() OVER (PARTITION BY dataset ORDER BY "timestamp", event_id) AS position
+          row_number() OVER (PARTITION BY dataset ORDER BY "timestamp", event_id, du.r, dh.r, action) AS position
         FROM labelled l
         JOIN (SELECT node, row_number() OVER (ORDER BY node) AS r FROM (SELECT DISTINCT dataset || '::' || "user" AS node
           FROM raw)) du ON du.node = l.dataset || '::' || l."user"
@@ -590,7 +592,7 @@ def edge_stream(spark, sf_dir):
 
 @query(
     "feature_cache_alignment",
-    sql("SELECT dataset, count(*) AS n, CAST(45 AS INTEGER) AS n_columns, CAST(sum(label) AS BIGINT) AS n_pos FROM ud GROUP BY 1", "ud"),
+    sql("SELECT dataset, count(*) AS n, CAST(46 AS INTEGER) AS n_columns, CAST(sum(label) AS BIGINT) AS n_pos FROM ud GROUP BY 1", "ud"),
 )
 def feature_cache_alignment(spark, sf_dir):
     """Feature cache written per domain, read back with its columns checked."""
