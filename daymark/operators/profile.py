@@ -134,18 +134,42 @@ def relative_time(events: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFr
     )
 
 
-def principal_classes(records: DataFrame, principal: str, by: Sequence[str]) -> DataFrame:
-    """Empty, service and real principals with their rates."""
+
+
+def telemetry_profile(records: DataFrame, positive_ids: DataFrame) -> DataFrame:
+    """Per host: principal classes, positive user-days of real users, remote flows, and a go / no-go verdict.
+
+    Go needs at least half of the records from real users and a positive real user-day.
+    """
     from daymark.functions import security as se
 
-    raw = F.col(principal)
+    fallback = F.coalesce(F.element_at("properties", "user"), F.element_at("properties", "requesting_user"))
+    raw = F.coalesce(se.filled(F.col("principal")), fallback)
     empty = se.bare_user(raw) == ""
-    service = ~empty & se.is_service_account(raw)
-    n = F.count(F.lit(1))
-    return records.groupBy(*by).agg(
-        n.alias("n"),
-        F.count_if(empty).alias("n_empty"),
-        F.count_if(service).alias("n_service"),
-        F.count_if(~empty & ~service).alias("n_real"),
-        (F.count_if(~empty & ~service) / n).alias("real_rate"),
+    kind = F.when(empty, "empty").when(se.is_service_account(raw), "service").otherwise("real")
+    hits = positive_ids.select("event_id").distinct().withColumn("hit", F.lit(True))
+    rows = records.select("host", "event_id", "day", kind.alias("kind"), se.bare_user(raw).alias("who"),
+                          (F.upper("object") == "FLOW").alias("flow")).join(hits, "event_id", "left")
+    real_hit = (F.col("kind") == "real") & F.col("hit")
+    folded = rows.groupBy("host", "day", "who", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("flow").alias("flows"), F.count_if(real_hit).alias("hits")
+    )
+    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    out = folded.groupBy("host").agg(
+        F.sum("n").alias("n"), total("empty").alias("n_empty"), total("service").alias("n_service"),
+        total("real").alias("n_real"), F.count_if(F.col("hits") > 0).alias("n_positive_user_days"),
+        F.sum("flows").alias("n_remote"),
+    )
+    go = (F.col("n_real") >= 0.5 * F.col("n")) & (F.col("n_positive_user_days") > 0)
+    return out.withColumn("real_rate", F.col("n_real") / F.col("n")).withColumn(
+        "verdict", F.when(go, "GO").otherwise("NO-GO")
+    )
+
+
+def property_keys(records: DataFrame) -> DataFrame:
+    """How often each property name occurs per object type."""
+    return (
+        records.select(F.upper("object").alias("object"), F.explode(F.map_keys("properties")).alias("key"))
+        .groupBy("object", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
     )

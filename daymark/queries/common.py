@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daymark.operators import features as ft
 from daymark.operators import labels as lb
+from daymark.session import work_path
 from daymark.sources import tables as tb
 
 
@@ -17,9 +18,18 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lb.attach_labels(raw, tb.label_keys(raw))
 
 
-def user_days(spark: SparkSession, sf_dir: str, deviation: bool = False) -> DataFrame:
+def user_days(spark: SparkSession, sf_dir: str, deviation: bool = False, staged: bool = False) -> DataFrame:
+    """User-day features; ``staged`` writes them first, for queries that read them more than once."""
     raw = tb.raw_events(spark, sf_dir)
-    return ft.user_day_features(raw, tb.label_keys(raw), deviation=deviation)
+    out = ft.user_day_features(raw, tb.label_keys(raw), deviation=deviation)
+    return stage(out, "user-days") if staged else out
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: one scan of the events, column pruning afterwards."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
@@ -34,11 +44,10 @@ _TABLES: dict[tuple[str, str, str], str] = {}
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result rows of the model-free grid, computed once per session and kept in the shared folder."""
     from daymark.plans.score_grid import grid_results
-    from daymark.session import work_path
 
     key = (spark.sparkContext.applicationId, sf_dir, "results")
     if key not in _TABLES:
         path = work_path(spark, "results")
-        grid_results(user_days(spark, sf_dir), DOMAINS, SEEDS).write.parquet(path)
+        grid_results(user_days(spark, sf_dir, staged=True), DOMAINS, SEEDS).write.parquet(path)
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])

@@ -266,7 +266,7 @@ def field_count_histogram(spark, sf_dir):
 def evaluability(spark, sf_dir):
     from daymark.operators.splits import chronological_user_days
 
-    return pf.evaluability(chronological_user_days(user_days(spark, sf_dir)))
+    return pf.evaluability(chronological_user_days(user_days(spark, sf_dir, staged=True)))
 
 
 @query(
@@ -283,7 +283,7 @@ def evaluability(spark, sf_dir):
 )
 def standardised_features(spark, sf_dir):
     """Every domain on the scale of the retail domain, as when a retail model scores it."""
-    f = user_days(spark, sf_dir, deviation=True)
+    f = user_days(spark, sf_dir, deviation=True, staged=True)
     stats = ft.scale_statistics(f.filter("dataset = 'retail'"), sc.BASE_COLUMNS)
     out = ft.standardise(f, stats)
     return rounded(rounded(out, sc.BASE_COLUMNS, 6), ["dev_n_events"], 4).select(

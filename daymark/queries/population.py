@@ -255,7 +255,7 @@ def balanced_pair_sample(spark, sf_dir):
     ),
 )
 def positive_preserving_cap(spark, sf_dir):
-    f = user_days(spark, sf_dir).withColumn("id", F.concat_ws("@", "user", "day"))
+    f = user_days(spark, sf_dir, staged=True).withColumn("id", F.concat_ws("@", "user", "day"))
     return sm.cap_keeping_positives(f, F.col("id"), cap=1300, seed=0).select("dataset", "user", "day", "label")
 
 
@@ -269,7 +269,7 @@ def positive_preserving_cap(spark, sf_dir):
     ),
 )
 def negative_only_training(spark, sf_dir):
-    f = user_days(spark, sf_dir).select(*sc.USER_DAY_KEY, "label")
+    f = user_days(spark, sf_dir, staged=True).select(*sc.USER_DAY_KEY, "label")
     quiet = sm.negative_users(f).select(*sc.USER_DAY_KEY, F.lit(True).alias("quiet"))
     return (
         sm.negative_rows(f)
@@ -313,7 +313,7 @@ def chronological_event_split(spark, sf_dir):
     sql('SELECT dataset, "user", day, label, part, round(cut, 6) AS cut_day FROM day_split', "day_split"),
 )
 def chronological_user_day_split(spark, sf_dir):
-    out = sp.chronological_user_days(user_days(spark, sf_dir))
+    out = sp.chronological_user_days(user_days(spark, sf_dir, staged=True))
     return rounded(out.select(*sc.USER_DAY_KEY, "label", "part", "cut_day"), ["cut_day"], 6)
 
 
@@ -330,7 +330,7 @@ def chronological_user_day_split(spark, sf_dir):
     ),
 )
 def alternative_cuts(spark, sf_dir):
-    f = user_days(spark, sf_dir)
+    f = user_days(spark, sf_dir, staged=True)
     median = sp.median_positive_day(f).withColumnRenamed("cut_day", "median_positive_day")
     active = sp.active_window_quantile(f).withColumnRenamed("cut_day", "active_window_cut")
     return rounded(median.join(active, "dataset"), ["median_positive_day", "active_window_cut"], 6)
@@ -369,7 +369,7 @@ cte("val_parts", _parts_sql(0.15, "val", "train", "[0]", "0"), "ud")
         "ud", "user_parts"),
 )
 def user_disjoint_split(spark, sf_dir):
-    out = sp.user_disjoint(user_days(spark, sf_dir), seeds=(0, 1, 2))
+    out = sp.user_disjoint(user_days(spark, sf_dir, staged=True), seeds=(0, 1, 2))
     return out.select(*sc.USER_DAY_KEY, "label", "seed", "part")
 
 
@@ -378,7 +378,7 @@ def user_disjoint_split(spark, sf_dir):
     sql('SELECT u.dataset, u."user", u.day, p.part FROM ud u JOIN val_parts p USING (dataset, "user")', "ud", "val_parts"),
 )
 def validation_users(spark, sf_dir):
-    return sp.validation_users(user_days(spark, sf_dir)).select(*sc.USER_DAY_KEY, "part")
+    return sp.validation_users(user_days(spark, sf_dir, staged=True)).select(*sc.USER_DAY_KEY, "part")
 
 
 _REPORT = ", ".join(
@@ -407,7 +407,7 @@ def chronological_split_report(spark, sf_dir):
         "ud", "user_parts") + ") GROUP BY dataset, seed",
 )
 def user_disjoint_split_report(spark, sf_dir):
-    rows = sp.user_disjoint(user_days(spark, sf_dir), seeds=(0, 1, 2))
+    rows = sp.user_disjoint(user_days(spark, sf_dir, staged=True), seeds=(0, 1, 2))
     return sp.split_report(rows, time="day", by=("dataset", "seed"))
 
 

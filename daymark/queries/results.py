@@ -66,7 +66,7 @@ def _bundle_sql(block: str) -> str:
 
 @query("user_day_metrics", sql(_bundle_sql("udm_bundle"), "udm_bundle"))
 def user_day_metrics(spark, sf_dir):
-    scored = user_days(spark, sf_dir).withColumn("score", F.col("n_events"))
+    scored = user_days(spark, sf_dir, staged=True).withColumn("score", F.col("n_events"))
     return rounded(mt.metric_bundle(scored, ["dataset"]), _BUNDLE, 8)
 
 
@@ -85,7 +85,7 @@ def event_metrics(spark, sf_dir):
         count(*) OVER (PARTITION BY dataset) AS m FROM ud_scored) WHERE r <= 50 GROUP BY 1""", "ud_scored"),
 )
 def precision_at_fixed_k(spark, sf_dir):
-    scored = user_days(spark, sf_dir).withColumn("score", F.col("n_events"))
+    scored = user_days(spark, sf_dir, staged=True).withColumn("score", F.col("n_events"))
     r = mt.ranked_scores(scored, ["dataset"])
     out = mt.precision_at_k(scored, r, ["dataset"], ["user", "day"], k=50)
     return rounded(out.withColumn("k", F.col("k").cast("long")), ["precision_at_k"], 8)
@@ -93,7 +93,7 @@ def precision_at_fixed_k(spark, sf_dir):
 
 @query("stratified_bootstrap")
 def stratified_bootstrap(spark, sf_dir):
-    scored = user_days(spark, sf_dir).withColumn("score", F.col("n_events").cast("double"))
+    scored = user_days(spark, sf_dir, staged=True).withColumn("score", F.col("n_events").cast("double"))
     return mt.bootstrap_interval(scored, ["dataset"], n_boot=1000)
 
 
@@ -447,7 +447,7 @@ def wilcoxon_over_cells(spark, sf_dir):
         "grid_scored"),
 )
 def integrity_check(spark, sf_dir):
-    return rs.integrity(grid_predictions(user_days(spark, sf_dir), DOMAINS, SEEDS))
+    return rs.integrity(grid_predictions(user_days(spark, sf_dir, staged=True), DOMAINS, SEEDS))
 
 
 @query(
@@ -496,7 +496,7 @@ def _distances(f):
         AND d.b = greatest(source, target)""", "results", "distances"),
 )
 def distance_against_lift(spark, sf_dir):
-    out = rs.distance_with_lift(result_table(spark, sf_dir), _distances(user_days(spark, sf_dir)))
+    out = rs.distance_with_lift(result_table(spark, sf_dir), _distances(user_days(spark, sf_dir, staged=True)))
     return rounded(out, ["lift", "distance"], 6)
 
 
@@ -507,14 +507,14 @@ def distance_against_lift(spark, sf_dir):
         AND d.b = greatest(source, target) GROUP BY 1""", "results", "distances"),
 )
 def distance_lift_correlation(spark, sf_dir):
-    pairs = rs.distance_with_lift(result_table(spark, sf_dir), _distances(user_days(spark, sf_dir)))
+    pairs = rs.distance_with_lift(result_table(spark, sf_dir), _distances(user_days(spark, sf_dir, staged=True)))
     out = rs.pearson(pairs, "distance", "lift", ["source", "target"], by=["model"])
     return rounded(out.drop("p_value"), ["r"], 6)
 
 
 @query("distance_lift_permutation_p")
 def distance_lift_permutation_p(spark, sf_dir):
-    pairs = rs.distance_with_lift(result_table(spark, sf_dir), _distances(user_days(spark, sf_dir)))
+    pairs = rs.distance_with_lift(result_table(spark, sf_dir), _distances(user_days(spark, sf_dir, staged=True)))
     return rs.pearson(pairs, "distance", "lift", ["source", "target"], by=["model"])
 
 
