@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,10 +98,11 @@ def is_service_account(raw: Column) -> Column:
     return s.startswith("NT AUTHORITY\\") | (bare == "") | F.upper(bare).isin(SERVICE_ACCOUNTS) | bare.endswith("$")
 
 
-def first_principal(candidates: Sequence[Column], keep_service: bool = False) -> Column:
-    """First candidate that names somebody (and no service account); empty if none does."""
-    good = lambda c: (bare_user(c) != "") if keep_service else ((bare_user(c) != "") & ~is_service_account(c))
-    return F.coalesce(*[F.when(good(c), bare_user(c)) for c in candidates], F.lit(""))
+def first_principal(candidates: Column, keep_service: bool = False) -> Column:
+    """First entry of an array that names somebody (and no service account); empty if none does."""
+    good = lambda c: (bare_user(c) != "") if keep_service else ~is_service_account(c)
+    found = F.filter(F.filter(candidates, lambda c: c.isNotNull()), good)
+    return F.coalesce(F.get(F.transform(found, bare_user), F.lit(0)), F.lit(""))
 
 
 def host_action(obj: Column, act: Column, port: Column) -> Column:

@@ -32,35 +32,40 @@ def flag_roster(events: DataFrame, roster: DataFrame, flag: str = "on_roster") -
 
 
 def interval_hours(intervals: DataFrame) -> DataFrame:
-    """One row per host and clock hour that an interval touches, so that the range join is an equi-join."""
+    """Per host and clock hour: the disjoint stretches covered by the intervals, as an array of (start, end).
+
+    Cutting intervals at clock hours turns the range join into an equi-join on (host, hour). Overlapping
+    intervals are merged first, so the array stays short however often an hour is listed.
+    """
     lo = F.date_trunc("hour", F.col("start")).cast("timestamp_ntz")
     hi = F.date_trunc("hour", F.col("end")).cast("timestamp_ntz")
-    return intervals.select(
+    cells = intervals.select(
         "host", "start", "end", F.explode(F.sequence(lo, hi, F.expr("INTERVAL '1' HOUR"))).alias("clock_hour")
-    )
+    ).distinct()
+    w = Window.partitionBy("host", "clock_hour").orderBy("start", "end")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
+    islands = cells.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w))
+    merged = islands.groupBy("host", "clock_hour", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("host", "clock_hour").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
 
 
-def in_interval(events: DataFrame, intervals: DataFrame, host: str = "src_host", how: str = "left_semi") -> DataFrame:
-    """Events whose host and time fall in a label interval, both ends included (``left_anti``: the others).
+def flag_intervals(events: DataFrame, intervals: DataFrame, host: str = "src_host", flag: str = "in_interval") -> DataFrame:
+    """Boolean column: the event's host and time fall in a label interval, both ends included.
 
-    An event in several intervals is kept once.
+    An event meets at most one row of the cut intervals, so none is doubled.
     """
-    spans = interval_hours(intervals)
-    e = events.withColumn("_hour", F.date_trunc("hour", F.col("timestamp")).cast("timestamp_ntz"))
-    match = (
-        (e[host] == spans["host"])
-        & (e["_hour"] == spans["clock_hour"])
-        & (e["timestamp"] >= spans["start"])
-        & (e["timestamp"] <= spans["end"])
-    )
-    return e.join(spans, match, how).drop("_hour")
+    spans = interval_hours(intervals).withColumnRenamed("host", "_host").withColumnRenamed("clock_hour", "_hour")
+    hour = F.date_trunc("hour", F.col("timestamp")).cast("timestamp_ntz")
+    joined = events.join(spans, (events[host] == spans["_host"]) & (hour == spans["_hour"]), "left")
+    time = F.col("timestamp")
+    inside = F.exists("stretches", lambda s: (s["start"] <= time) & (time <= s["end"]))
+    return joined.withColumn(flag, F.coalesce(inside, F.lit(False))).drop("_host", "_hour", "stretches")
 
 
-def flag_intervals(events: DataFrame, intervals: DataFrame, host: str = "src_host", flag: str = "in_interval") -> DataFrame:
-    """Boolean column for every event; the two halves are disjoint, so no row is lost or doubled."""
-    inside = in_interval(events, intervals, host).withColumn(flag, F.lit(True))
-    outside = in_interval(events, intervals, host, "left_anti").withColumn(flag, F.lit(False))
-    return inside.unionByName(outside)
+def in_interval(events: DataFrame, intervals: DataFrame, host: str = "src_host") -> DataFrame:
+    """Only the events inside a label interval, each once."""
+    return flag_intervals(events, intervals, host, "_inside").filter("_inside").drop("_inside")
 
 
 def dominant_users(logons: DataFrame, host: str = "src_host") -> DataFrame:

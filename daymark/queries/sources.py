@@ -9,7 +9,7 @@ from daymark.functions import timeparts as tp
 from daymark.operators import profile as pf
 from daymark.operators import sampling as sm
 from daymark.operators.results import CELL
-from daymark.queries.common import labelled_events, result_table, rounded, user_days
+from daymark.queries.common import labelled_events, result_table, rounded, stage, user_days
 from daymark.queries.registry import cte, draw_sql, query, sql
 from daymark.session import work_path
 from daymark.sources import cache, cert, lanl, optc, resultlog, spedia
@@ -214,7 +214,7 @@ def _telemetry_lines(raw):
         props.alias("properties"),
     ))
     broken = (F.col("action") == "auth") & (v % 7 == 0)
-    return raw.select(F.when(broken, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+    return stage(raw.select(F.when(broken, F.substring(line, 1, 40)).otherwise(line).alias("value")), "lines")
 
 
 cte(
@@ -293,12 +293,12 @@ def _mkdirs(spark, path: str) -> None:
     sql(
         """SELECT src_host AS host, count(*) AS n, count(*) FILTER (cls = 'empty') AS n_empty, count(*) FILTER (cls = 'service')
         AS n_service, count(*) FILTER (cls = 'real') AS n_real, count(DISTINCT "user" || '@' || day) FILTER (cls = 'real' AND
-        is_positive) AS n_positive_user_days, count(*) FILTER (action = 'http') AS n_remote,
+        hit) AS n_positive_user_days, count(*) FILTER (action = 'http') AS n_remote,
         round(count(*) FILTER (cls = 'real') / count(*), 8) AS real_rate,
-        CASE WHEN count(*) FILTER (cls = 'real') >= 0.5 * count(*) AND count(*) FILTER (cls = 'real' AND is_positive) > 0
+        CASE WHEN count(*) FILTER (cls = 'real') >= 0.5 * count(*) AND count(*) FILTER (cls = 'real' AND hit) > 0
           THEN 'GO' ELSE 'NO-GO' END AS verdict
         FROM (SELECT *, CASE WHEN v % 4 IN (0, 1) OR (v % 4 = 3 AND action = 'logon') THEN 'real' WHEN v % 4 = 2 THEN 'service'
-          ELSE 'empty' END AS cls FROM telemetry) GROUP BY 1""",
+          ELSE 'empty' END AS cls, event_id IN (SELECT event_id FROM raw WHERE is_positive) AS hit FROM telemetry) GROUP BY 1""",
         "telemetry",
     ),
 )
@@ -449,8 +449,8 @@ def event_cache_reuse(spark, sf_dir):
         calls.append(1)
         return sm.uniform_sample(labelled_events(spark, sf_dir), F.col("action") == "http", 0.05)
 
-    cache.cached_events(spark, root, "all", 0.05, build)
-    again = cache.cached_events(spark, root, "all", 0.05, build)
+    cache.cached_events(spark, root, "all", 0.05, build, grain="month")
+    again = cache.cached_events(spark, root, "all", 0.05, build, grain="month")
     if len(calls) != 1:
         raise RuntimeError("the cache was built twice")
     return again.filter("dataset <> 'retail'").groupBy("dataset", "day").agg(

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.operators.features import align_features
-from daymark.schema import EVENT_COLUMNS
 
 
 def cache_name(domain: str, fraction: float) -> str:
@@ -25,20 +24,20 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def cached_events(spark: SparkSession, root: str, domain: str, fraction: float,
-                  build: Callable[[], DataFrame]) -> DataFrame:
+                  build: Callable[[], DataFrame], grain: str = "day") -> DataFrame:
     """Events of a domain from its cache, building the cache on the first call.
 
-    Partitioned by domain and day, so that domain and date filters prune files. On a hit the label counts
+    Partitioned by domain and ``day`` (or ``month`` for long, thin histories), so that domain and date filters
+    prune files. Rebalancing gathers small days and splits a day that outgrows a task. On a hit the label counts
     are checked again: a cache without positives is refused.
     """
     path = f"{root.rstrip('/')}/{cache_name(domain, fraction)}"
     if not table_exists(spark, path):
         events = build().withColumn("day", F.to_date("timestamp"))
-        columns = [*EVENT_COLUMNS, *[c for c in events.columns if c not in EVENT_COLUMNS and c != "day"], "day"]
+        events = events.withColumn("month", F.date_format("day", "yyyy-MM")) if grain == "month" else events
         (
-            events.select(*columns)
-            .repartition("dataset", "day", F.pmod(F.xxhash64("user", "timestamp"), F.lit(16)))
-            .write.partitionBy("dataset", "day")
+            events.hint("rebalance", "dataset", grain)
+            .write.partitionBy("dataset", grain)
             .mode("overwrite")
             .parquet(path)
         )

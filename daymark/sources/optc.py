@@ -41,26 +41,25 @@ def parse(lines: DataFrame) -> DataFrame:
     """Records of the lines; lines that are no JSON object are dropped."""
     text = F.trim("value")
     record = F.from_json(text, RECORD_SCHEMA, {"mode": "PERMISSIVE"})
-    parsed = lines.filter(text.startswith("{") & text.endswith("}")).select(record.alias("r"), text.alias("line"))
-    rows = parsed.filter("r IS NOT NULL AND r.timestamp IS NOT NULL").select("r.*", "line")
+    # inline() parses each line once; a plain struct column would be parsed again for every field.
+    rows = lines.filter(text.startswith("{") & text.endswith("}")).select(
+        F.md5(text).alias("line_digest"), F.inline(F.array(record))
+    ).filter("timestamp IS NOT NULL")
     us = tp.mixed_micros(F.col("timestamp"))
     host = F.coalesce(se.filled(F.col("hostname")), F.lit("unknown"))
-    short = F.coalesce(F.nullif(se.norm_host(host), F.lit("")), host)
-    return (
-        rows.withColumn("event_id", F.coalesce("id", F.md5("line")))
-        .withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
-        .withColumn("timestamp", tp.plus_micros(us))
-        .withColumn("src_host", host)
-        .withColumn("host", short)
-        .filter("timestamp IS NOT NULL")
-        .withColumn("day", F.to_date("timestamp"))
-        .drop("line")
-    )
+    timed = rows.select(
+        F.coalesce("id", "line_digest").alias("event_id"), tp.plus_micros(us).alias("timestamp"), host.alias("src_host"),
+        "object", "action", "principal", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"),
+    ).filter("timestamp IS NOT NULL")
+    short = F.coalesce(F.nullif(se.norm_host(F.col("src_host")), F.lit("")), F.col("src_host"))
+    return timed.withColumn("host", short).withColumn("day", F.to_date("timestamp"))
 
 
 def principal(keep_service: bool = False) -> Column:
+    """Acting user: the first of five fields that names somebody."""
     names = ["user", "user_name", "requesting_user", "username"]
-    return se.first_principal([F.col("principal"), *[F.element_at("properties", n) for n in names]], keep_service)
+    fields = F.array(F.col("principal"), *[F.element_at("properties", n) for n in names])
+    return se.first_principal(fields, keep_service)
 
 
 def host_day_users(lines: DataFrame) -> DataFrame:
