@@ -1 +1,74 @@
-"""Queries."""
+"""Queries that feed the tables through the streaming jobs and must equal the batch results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from daymark import schema as sc
+from daymark.operators.features import base_features
+from daymark.queries.common import rounded
+from daymark.queries.features import REAL, sql_rounded
+from daymark.queries.registry import query, sql
+from daymark.session import work_path
+from daymark.sources import tables as tb
+from daymark.streaming import deviation as dv
+from daymark.streaming import userdays as ud
+
+_COLUMNS = ["dataset", "event_id", "timestamp", "user", "dst_host", "action"]
+
+
+def _closed_days(spark, sf_dir) -> str:
+    """Run the stream over all events, then over one much later event that closes every day; returns the table."""
+    folder, out, mark = (work_path(spark, n) for n in ("arrivals", "closed-days", "stream-checkpoint"))
+    events = tb.raw_events(spark, sf_dir).select(*_COLUMNS)
+    events.write.parquet(folder)
+    ud.run_available(ud.user_day_stream(ud.event_stream(spark, folder, events)), out, mark)
+    last = events.orderBy(F.desc("timestamp"), "event_id").limit(1)
+    late = last.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '400' DAY")).withColumn("user", F.lit("sentinel"))
+    late.write.mode("append").parquet(folder)
+    ud.run_available(ud.user_day_stream(ud.event_stream(spark, folder, events)), out, mark)
+    return out
+
+
+@query(
+    "streamed_user_days",
+    sql(f'SELECT dataset, "user", day, {", ".join(sc.INTEGER_COLUMNS)}, {sql_rounded(REAL, 6)} FROM base', "base"),
+)
+def streamed_user_days(spark, sf_dir):
+    return rounded(spark.read.parquet(_closed_days(spark, sf_dir)), REAL, 6)
+
+
+@query(
+    "streamed_partials",
+    sql(f'SELECT dataset, "user", day, {", ".join(sc.INTEGER_COLUMNS)}, {sql_rounded(REAL, 6)} FROM base', "base"),
+)
+def streamed_partials(spark, sf_dir):
+    """Three micro-batches folded to partials, merged afterwards."""
+    folder, out, mark = (work_path(spark, n) for n in ("arrivals", "partials", "stream-checkpoint"))
+    events = tb.raw_events(spark, sf_dir).select(*_COLUMNS)
+    events.repartition(3).write.parquet(folder)
+    ud.merge_stream(ud.event_stream(spark, folder, events, files_per_batch=1), out, mark).awaitTermination()
+    return rounded(ud.merged_features(spark, out), REAL, 6)
+
+
+_DEV = ["n_events", "cnt_http", "n_distinct_hosts", "frac_offhours"]
+
+
+@query(
+    "streamed_deviation",
+    sql('SELECT dataset, "user", day, ' + ", ".join(f"round(dev_{c}, 2) AS dev_{c}" for c in _DEV) + " FROM dev", "dev"),
+)
+def streamed_deviation(spark, sf_dir):
+    folder, out, mark = (work_path(spark, n) for n in ("user-days", "deviation", "stream-checkpoint"))
+    base_features(tb.raw_events(spark, sf_dir)).write.parquet(folder)
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    dv.use_rocksdb(spark)
+    try:
+        days = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        ud.run_available(dv.deviation_stream(days, _DEV), out, mark)
+    finally:
+        if old is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return rounded(spark.read.parquet(out), [f"dev_{c}" for c in _DEV], 2)
