@@ -118,9 +118,13 @@ def _probability(model, prepare: Callable[[DataFrame], DataFrame]) -> Callable[[
     return add
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Training rows over all cores: iterative fits read them many times, so one even shuffle pays off."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+def spread(rows: DataFrame, n_rows: int, per_task: int = 20_000) -> DataFrame:
+    """Training rows in even partitions: iterative fits read them many times, so one shuffle pays off.
+
+    The number of partitions follows the number of rows, since every iteration pays for each of them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(cores * 4, math.ceil(n_rows / per_task))))
 
 
 def _columns(train: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -143,7 +147,7 @@ class ForestDetector:
             numTrees=self.trees, maxDepth=self.depth, maxBins=64, weightCol="weight", seed=self.seed,
             featureSubsetStrategy="sqrt", subsamplingRate=1.0, maxMemoryInMB=1024,
         )
-        model = forest.fit(spread(rows))
+        model = forest.fit(spread(rows, neg + pos, 1_000))
         return Fitted(_probability(model, lambda r: assemble(r, cols)),
                       {"model": model, "importances": dict(zip(cols, model.featureImportances.toArray().tolist()))})
 
@@ -161,7 +165,7 @@ class LogisticDetector:
         cols = _columns(train, self.columns)
         scaler = Scaler.fit(train, cols)
         rows = assemble(scaler.apply(balanced_weights(train, neg, pos)), cols).select("features", "label", "weight")
-        model = LogisticRegression(weightCol="weight", regParam=self.reg, maxIter=self.max_iter, tol=1e-4).fit(spread(rows))
+        model = LogisticRegression(weightCol="weight", regParam=self.reg, maxIter=self.max_iter, tol=1e-4).fit(spread(rows, neg + pos))
         weights = dict(zip(cols, model.coefficients.toArray().tolist()))
         return Fitted(linear_score(scaler, weights, float(model.intercept)),
                       {"weights": weights, "intercept": float(model.intercept), "scaler": scaler})
@@ -194,7 +198,7 @@ class PerceptronDetector:
         times = F.when(F.col("label") == 1, copies).otherwise(1)
         rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
         net = MultilayerPerceptronClassifier(layers=[len(cols), *self.hidden, 2], maxIter=self.max_iter, seed=self.seed)
-        return Fitted(_probability(net.fit(spread(rows)), lambda r: assemble(scaler.apply(r), cols)), {"copies": copies})
+        return Fitted(_probability(net.fit(spread(rows, neg + pos * copies)), lambda r: assemble(scaler.apply(r), cols)), {"copies": copies})
 
 
 class ReconstructionDetector:
@@ -339,8 +343,8 @@ class OneClassDetector:
         freq = rng.normal(size=(len(cols), self.width)) * math.sqrt(2.0 * gamma)
         phase = rng.uniform(0, 2 * math.pi, self.width)
         lift = lambda data: math.sqrt(2.0 / self.width) * np.cos(data @ freq + phase)
-        data = spread(rows.select(x.alias("x"))).persist()
-        n = data.count()
+        n = rows.count()
+        data = spread(rows.select(x.alias("x")), n).persist()
         w, rho = np.zeros(self.width), 0.0
         for step in range(self.steps):
             def gradient(batches, w=w, rho=rho):
@@ -420,7 +424,7 @@ class NeighbourDetector:
             with_mean = rows.withColumn("_nb", neighbour_mean(x, key))
             return with_mean.select(*rows.columns, *[F.get("_nb", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
-        wide = spread(widen(train)).persist()
+        wide = widen(train).persist()
         inner = LogisticDetector(columns=[*cols, *names]).fit(wide)
         wide.unpersist()
         return Fitted(lambda rows: inner.score(widen(rows)).select(*rows.columns, "score"), inner.details)

@@ -88,13 +88,14 @@ def seed_summary(rows: DataFrame, by: Sequence[str], n_boot: int = 5000, digits:
 
 # ---- gaps -----------------------------------------------------------------------------------------
 
-_DIAGONAL = F.col("source") == F.col("target")
+def _diagonal() -> Column:
+    return F.col("source") == F.col("target")
 
 
 def plain_gap(rows: DataFrame, value: str = "pr_auc", by: Sequence[str] = ("model",)) -> DataFrame:
     """Mean of the diagonal minus mean of the rest; nulls are ignored."""
     v = F.col(value)
-    diag, off = F.avg(F.when(_DIAGONAL, v)), F.avg(F.when(~_DIAGONAL, v))
+    diag, off = F.avg(F.when(_diagonal(), v)), F.avg(F.when(~_diagonal(), v))
     return rows.groupBy(*by).agg(diag.alias("diag_mean"), off.alias("off_mean"), (diag - off).alias("gap"))
 
 
@@ -104,14 +105,14 @@ def protocol_gap(rows: DataFrame, protocol: str = "user_disjoint", evaluable: Se
 
     The diagonal uses one protocol; every source that reaches an evaluable target counts.
     """
-    cells = rows.filter(~_DIAGONAL | (F.col("protocol") == protocol))
+    cells = rows.filter(~_diagonal() | (F.col("protocol") == protocol))
     if evaluable is not None:
         cells = cells.filter(F.col("target").isin(list(evaluable)))
     means = cells.groupBy(*by, "source", "target").agg(F.avg("pr_auc").alias("v"))
-    diag, off = F.avg(F.when(_DIAGONAL, F.col("v"))), F.avg(F.when(~_DIAGONAL, F.col("v")))
+    diag, off = F.avg(F.when(_diagonal(), F.col("v"))), F.avg(F.when(~_diagonal(), F.col("v")))
     return means.groupBy(*by).agg(
-        F.count(F.when(_DIAGONAL, F.col("v"))).alias("n_diag"),
-        F.count(F.when(~_DIAGONAL, F.col("v"))).alias("n_pairs"),
+        F.count(F.when(_diagonal(), F.col("v"))).alias("n_diag"),
+        F.count(F.when(~_diagonal(), F.col("v"))).alias("n_pairs"),
         diag.alias("diag_mean"), off.alias("off_mean"), (diag - off).alias("gap"),
     )
 
@@ -127,7 +128,7 @@ def matched_cells(rows: DataFrame, first: str, second: str, evaluable: Sequence[
     def mean_of(model: str) -> Column:
         return F.avg(F.when(F.col("model") == model, F.col("pr_auc")))
 
-    off = rows.filter(~_DIAGONAL & F.col("model").isin(first, second))
+    off = rows.filter(~_diagonal() & F.col("model").isin(first, second))
     return (
         off.groupBy("source", "target")
         .agg(mean_of(first).alias("first"), mean_of(second).alias("second"))
@@ -138,7 +139,7 @@ def matched_cells(rows: DataFrame, first: str, second: str, evaluable: Sequence[
 
 def distance_with_lift(rows: DataFrame, distances: DataFrame) -> DataFrame:
     """Directed off-diagonal lift next to the distance of the unordered domain pair (``a`` < ``b``)."""
-    off = rows.filter(~_DIAGONAL).groupBy("model", "source", "target").agg(F.avg("lift").alias("lift"))
+    off = rows.filter(~_diagonal()).groupBy("model", "source", "target").agg(F.avg("lift").alias("lift"))
     ends = off.withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target"))
     ordered = distances.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     return ends.join(ordered, ["a", "b"]).drop("a", "b")
@@ -147,9 +148,12 @@ def distance_with_lift(rows: DataFrame, distances: DataFrame) -> DataFrame:
 # ---- tests over cells -----------------------------------------------------------------------------
 
 
-@F.pandas_udf("double")
-def _upper_normal(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x is None or math.isnan(x) else 0.5 * math.erfc(x / math.sqrt(2)))
+def _upper_normal(z: Column) -> Column:
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2)))
+
+    return tail(z)
 
 
 def average_rank(value: Column, *by: str) -> Column:
@@ -238,9 +242,9 @@ def leakage_flags(rows: DataFrame) -> DataFrame:
     """Results that are too good: a diagonal from 0.95, a saturated diagonal, an off-diagonal from 0.999."""
     pr = F.col("pr_auc")
     return (
-        rows.withColumn("inspect_diagonal", F.coalesce(_DIAGONAL & (pr >= 0.95), F.lit(False)))
-        .withColumn("stop_saturated", F.coalesce(_DIAGONAL & (pr >= 0.9999), F.lit(False)))
-        .withColumn("stop_off_diagonal", F.coalesce(~_DIAGONAL & (pr >= 0.999), F.lit(False)))
+        rows.withColumn("inspect_diagonal", F.coalesce(_diagonal() & (pr >= 0.95), F.lit(False)))
+        .withColumn("stop_saturated", F.coalesce(_diagonal() & (pr >= 0.9999), F.lit(False)))
+        .withColumn("stop_off_diagonal", F.coalesce(~_diagonal() & (pr >= 0.999), F.lit(False)))
     )
 
 

@@ -14,7 +14,12 @@ from daymark.queries.common import labelled_events, rounded, user_days
 from daymark.queries.registry import cte, draw_sql, query, sql
 from daymark.sources import tables as tb
 
-WEB = F.col("action") == "http"
+
+
+def _web():
+    return F.col("action") == "http"
+
+
 DRAW7 = draw_sql("'7'", "event_id")
 
 # ---- joins ----------------------------------------------------------------------------------------
@@ -130,7 +135,7 @@ cte("loose_sample", f"SELECT * FROM flagged WHERE action <> 'http' OR on_roster
 
 @query("uniform_sample", sql('SELECT dataset, event_id, "user", day, action FROM strict_sample', "strict_sample"))
 def uniform_sample(spark, sf_dir):
-    return sm.uniform_sample(tb.raw_events(spark, sf_dir), WEB, 0.05).select(
+    return sm.uniform_sample(tb.raw_events(spark, sf_dir), _web(), 0.05).select(
         "dataset", "event_id", "user", "day", "action"
     )
 
@@ -138,7 +143,7 @@ def uniform_sample(spark, sf_dir):
 @query("roster_aware_sample", sql('SELECT dataset, event_id, "user", day, action FROM loose_sample', "loose_sample"))
 def roster_aware_sample(spark, sf_dir):
     raw = tb.raw_events(spark, sf_dir)
-    return sm.roster_sample(raw, tb.roster(raw), WEB, 0.05).select("dataset", "event_id", "user", "day", "action")
+    return sm.roster_sample(raw, tb.roster(raw), _web(), 0.05).select("dataset", "event_id", "user", "day", "action")
 
 
 @query(
@@ -187,9 +192,9 @@ _AUDIT_ROW = '"timestamp", "user", src_host, dst_host, action, object, label'
 def sampling_audit(spark, sf_dir):
     events = labelled_events(spark, sf_dir)
     flagged = lb.flag_roster(events, tb.roster(tb.raw_events(spark, sf_dir)))
-    strict = sm.uniform_sample(flagged, WEB, 0.05)
-    loose = flagged.filter(~WEB | F.col("on_roster") | sm.keep(0.05))
-    out = sm.sampling_audit(strict, loose, WEB, 0.05)
+    strict = sm.uniform_sample(flagged, _web(), 0.05)
+    loose = flagged.filter(~_web() | F.col("on_roster") | sm.keep(0.05))
+    out = sm.sampling_audit(strict, loose, _web(), 0.05)
     return rounded(rounded(out, ["roster_keep_rate"], 9), ["roster_keep_z"], 6)
 
 
@@ -206,7 +211,7 @@ def sampling_audit(spark, sf_dir):
 )
 def sampling_rates_by_group(spark, sf_dir):
     raw = tb.raw_events(spark, sf_dir)
-    out = sm.keep_rates(lb.flag_roster(raw, tb.roster(raw)), WEB, 0.05)
+    out = sm.keep_rates(lb.flag_roster(raw, tb.roster(raw)), _web(), 0.05)
     return rounded(rounded(out, ["keep_rate"], 9), ["z"], 6)
 
 
@@ -223,7 +228,7 @@ def sampling_rates_by_group(spark, sf_dir):
 def multiset_difference(spark, sf_dir):
     events = labelled_events(spark, sf_dir)
     morning = events.filter(F.hour("timestamp") < 12)
-    return sm.multiset_difference(sm.uniform_sample(events, WEB, 0.05), morning, ["user", "action", "day"])
+    return sm.multiset_difference(sm.uniform_sample(events, _web(), 0.05), morning, ["user", "action", "day"])
 
 
 _UD_ID = "\"user\" || '@' || day"
@@ -514,7 +519,7 @@ def sampled_feature_difference(spark, sf_dir):
     raw = tb.raw_events(spark, sf_dir)
     keys = tb.label_keys(raw)
     full = ft.user_day_features(raw, keys, deviation=False)
-    thin = ft.user_day_features(sm.uniform_sample(raw, WEB, 0.05), keys, deviation=False)
+    thin = ft.user_day_features(sm.uniform_sample(raw, _web(), 0.05), keys, deviation=False)
     return rounded(cp.feature_parity(full, thin, _THIN), ["max_abs_diff"], 6)
 
 
@@ -536,7 +541,7 @@ def worst_difference_rows(spark, sf_dir):
     raw = tb.raw_events(spark, sf_dir)
     keys = tb.label_keys(raw)
     full = ft.user_day_features(raw, keys, deviation=False)
-    thin = ft.user_day_features(sm.uniform_sample(raw, WEB, 0.05), keys, deviation=False)
+    thin = ft.user_day_features(sm.uniform_sample(raw, _web(), 0.05), keys, deviation=False)
     return cp.worst_rows(full, thin, ["n_events", "n_distinct_hosts", "hour_mean"], 5)
 
 
@@ -554,7 +559,7 @@ def prediction_parity(spark, sf_dir):
     raw = tb.raw_events(spark, sf_dir)
     keys = tb.label_keys(raw)
     full = ft.user_day_features(raw, keys, deviation=False)
-    thin = ft.user_day_features(sm.uniform_sample(raw, WEB, 0.05), keys, deviation=False)
+    thin = ft.user_day_features(sm.uniform_sample(raw, _web(), 0.05), keys, deviation=False)
     return cp.prediction_parity(full, thin, ["user", "day", "label"])
 
 
