@@ -131,8 +131,9 @@ def matched_cells(rows: DataFrame, first: str, second: str, evaluable: Sequence[
     off = rows.filter(~_diagonal() & F.col("model").isin(first, second))
     return (
         off.groupBy("source", "target")
-        .agg(mean_of(first).alias("first"), mean_of(second).alias("second"))
-        .filter("first IS NOT NULL AND second IS NOT NULL")
+        .agg(mean_of(first).alias("first"), mean_of(second).alias("second"), F.count_distinct("model").alias("_models"))
+        .filter("_models = 2")
+        .drop("_models")
         .withColumn("evaluable_target", F.col("target").isin(list(evaluable)))
     )
 

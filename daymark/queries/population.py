@@ -267,8 +267,9 @@ def positive_preserving_cap(spark, sf_dir):
 @query(
     "negative_only_training",
     sql(
-        """SELECT u.dataset, u."user", u.day, u.label = 0 AS negative_row, p.any_pos = 0 AS negative_user FROM ud u
-        JOIN (SELECT dataset, "user", max(label) AS any_pos FROM ud GROUP BY ALL) p USING (dataset, "user")
+        """SELECT u.dataset, u."user", u.day, u.label = 0 AS negative_row, p.any_pos = 0 OR p.n_quiet < 8 AS negative_user FROM ud u
+        JOIN (SELECT *, count(*) FILTER (any_pos = 0) OVER (PARTITION BY dataset) AS n_quiet FROM
+          (SELECT dataset, "user", max(label) AS any_pos FROM ud GROUP BY ALL)) p USING (dataset, "user")
         WHERE u.label = 0""",
         "ud",
     ),
