@@ -147,7 +147,7 @@ class ForestDetector:
             numTrees=self.trees, maxDepth=self.depth, maxBins=64, weightCol="weight", seed=self.seed,
             featureSubsetStrategy="sqrt", subsamplingRate=1.0, maxMemoryInMB=1024,
         )
-        model = forest.fit(spread(rows, neg + pos, 1_000))
+        model = forest.fit(spread(rows, neg + pos, 5_000))
         return Fitted(_probability(model, lambda r: assemble(r, cols)),
                       {"model": model, "importances": dict(zip(cols, model.featureImportances.toArray().tolist()))})
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import timeparts as tp
+from daymark.operators.ordered import attach_groups
 from daymark.schema import (
     ACTIONS, BASE_COLUMNS, COUNT_COLUMNS, DEV_COLUMNS, FEATURE_COLUMNS, USER_DAY_KEY,
 )
@@ -170,12 +171,17 @@ def standardise(
 ) -> DataFrame:
     """Scale ``columns`` with training statistics and clip; deviation columns are clipped only.
 
-    Without ``by`` the statistics are a single row; with it, one row per group.
+    Without ``by`` the statistics are a single row, used as literals; with it, one row per group.
     """
-    joined = rows.join(stats, list(by)) if by else rows.crossJoin(F.broadcast(stats))
+    if by:
+        joined = attach_groups(rows, stats, by)
+        stat = F.col
+    else:
+        joined, row = rows, stats.first()
+        stat = lambda name: F.lit(float(row[name]))
     limit = (lambda x: clip(x, bound)) if bound is not None else (lambda x: x)
     keep = [c for c in rows.columns if c not in columns and c not in DEV_COLUMNS]
-    scaled = [limit((F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}")).alias(c) for c in columns]
+    scaled = [limit((F.col(c) - stat(f"mean_{c}")) / stat(f"std_{c}")).alias(c) for c in columns]
     dev = [(limit(F.col(c)) if c not in columns else F.col(c)).alias(c) for c in DEV_COLUMNS
            if c in rows.columns and c not in columns]
     return joined.select(*keep, *scaled, *dev)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daymark.operators.ordered import ranked, running, slices
+from daymark.operators.ordered import attach_groups, ranked, running, slices
 
 
 def score_counts(scored: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def detection_rates(ranked_rows: DataFrame, curves: DataFrame, by: Sequence[str]
         return F.when(usable, hit / F.max("n_pos"))
 
     marks = curves.select(*by, "thr_1pct", "thr_5pct")
-    return ranked_rows.join(marks, list(by)).groupBy(*by).agg(
+    return attach_groups(ranked_rows, marks, by).groupBy(*by).agg(
         rate("thr_1pct").alias("dr_at_1pct_fpr"), rate("thr_5pct").alias("dr_at_5pct_fpr")
     )
 

@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 from daymark.session import cut
 
 
+SMALL_ROWS = 200_000
+
+
+def attach_groups(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join a table with one row per group (a domain, a cell) to the rows of the groups.
+
+    The table is materialised and counted. Up to ``SMALL_ROWS`` rows it is broadcast, so the rows are not
+    shuffled by their few, heavy groups; above that it is an ordinary join.
+    """
+    fixed = cut(table)
+    return rows.join(F.broadcast(fixed) if fixed.count() <= SMALL_ROWS else fixed, list(by))
+
+
 def slices(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition by group and order, and keep the partition number as ``slice``."""
     ranged = df.repartitionByRange(*[F.col(c) for c in by], *order)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import timeparts as tp
+from daymark.operators.ordered import attach_groups
 from daymark.schema import USER_DAY_KEY
 
 
@@ -128,7 +129,7 @@ def relative_time(events: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFr
     span = events.groupBy(*by).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     return (
-        events.join(span, list(by))
+        attach_groups(events, span, by)
         .withColumn("rel_time", F.when(width > 0, (us - F.col("_lo")) / width).otherwise(0.0))
         .drop("_lo", "_hi")
     )

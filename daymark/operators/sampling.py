@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daymark.functions.hashing import digest, draw
 from daymark.operators.labels import flag_intervals, flag_roster
-from daymark.operators.ordered import ranked
+from daymark.operators.ordered import attach_groups, ranked
 
 SAMPLE_SEED = 7
 ROW_COLUMNS = ["timestamp", "user", "src_host", "dst_host", "action", "object", "label"]
@@ -121,9 +121,9 @@ def balanced_sample(rows: DataFrame, key: Column, seed: int, cap: int | None = N
     """Every group cut to the size of the smallest one (and to ``cap``), in hash order."""
     order = rows.withColumn("_digest", digest(seed, key))
     out = ranked(order, by, [F.col("_digest"), key])
-    smallest = out.select(F.min("group_size").alias("_k"))
-    k = F.col("_k") if cap is None else F.least(F.col("_k"), F.lit(cap))
-    return out.crossJoin(F.broadcast(smallest)).filter(F.col("rank") <= k).drop("_k", "_digest")
+    sizes = out.filter("rank = 1").agg(F.min("group_size").alias("k"))
+    k = sizes.first()["k"] or 0
+    return out.filter(F.col("rank") <= (k if cap is None else min(k, cap))).drop("_digest")
 
 
 def cap_keeping_positives(rows: DataFrame, key: Column, cap: int, seed: int,
@@ -135,7 +135,7 @@ def cap_keeping_positives(rows: DataFrame, key: Column, cap: int, seed: int,
     n_pos = F.least(F.col("_pos"), F.lit(max(200, cap // 20)))
     allowed = F.when(F.col("label") == 1, n_pos).otherwise(F.lit(cap) - n_pos)
     return (
-        out.join(sizes, list(by))
+        attach_groups(out, sizes, by)
         .filter((F.col("_n") <= cap) | (F.col("rank") <= allowed))
         .drop("_digest", "_pos", "_n", "rank", "group_size")
     )
@@ -144,16 +144,12 @@ def cap_keeping_positives(rows: DataFrame, key: Column, cap: int, seed: int,
 def negative_rows(train: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Negative training rows; all rows of a group that has none."""
     has = train.groupBy(*by).agg(F.max(F.when(F.col("label") == 0, 1).otherwise(0)).alias("_has_neg"))
-    return train.join(has, list(by)).filter((F.col("label") == 0) | (F.col("_has_neg") == 0)).drop("_has_neg")
+    return attach_groups(train, has, by).filter((F.col("label") == 0) | (F.col("_has_neg") == 0)).drop("_has_neg")
 
 
 def negative_users(rows: DataFrame, at_least: int = 8) -> DataFrame:
     """Rows of users without any positive day; all rows of a domain with fewer than ``at_least`` of them."""
     users = rows.groupBy("dataset", "user").agg(F.max("label").alias("_any"))
     enough = users.groupBy("dataset").agg((F.count_if(F.col("_any") == 0) >= at_least).alias("_enough"))
-    return (
-        rows.join(users, ["dataset", "user"])
-        .join(enough, "dataset")
-        .filter((F.col("_any") == 0) | ~F.col("_enough"))
-        .drop("_any", "_enough")
-    )
+    joined = attach_groups(rows.join(users, ["dataset", "user"]), enough, ["dataset"])
+    return joined.filter((F.col("_any") == 0) | ~F.col("_enough")).drop("_any", "_enough")

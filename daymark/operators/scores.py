@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymark.operators.features import clip, scale_statistics
+from daymark.operators.ordered import attach_groups
 from daymark.schema import BASE_COLUMNS, COUNT_COLUMNS
 
 GROUPS = {"counts": COUNT_COLUMNS, "all": BASE_COLUMNS}
@@ -17,11 +18,10 @@ def deviation_scores(targets: DataFrame, train: DataFrame, by: Sequence[str],
                      groups: dict[str, list[str]] = GROUPS) -> DataFrame:
     """Sum of the clipped standardised features of each target row, on the scale of its training set.
 
-    ``by`` names the training set on both sides. Its statistics are one row per training set: the number of
-    jobs bounds that table, so it is broadcast.
+    ``by`` names the training set on both sides; its statistics are one row per training set.
     """
     stats = scale_statistics(train, BASE_COLUMNS, by)
-    scaled = targets.join(F.broadcast(stats), list(by))
+    scaled = attach_groups(targets, stats, by)
     z = {c: clip((F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}")) for c in BASE_COLUMNS}
     variants = F.array(
         *[F.struct(F.lit(name).alias("model"), F.round(sum((z[c] for c in cols[1:]), z[cols[0]]), 6).alias("score"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from daymark.functions import timeparts as tp
 from daymark.functions.hashing import digest
-from daymark.operators.ordered import ranked
+from daymark.operators.ordered import attach_groups, ranked
+from daymark.session import cut
 
 
 def _interpolate(lo: Column, hi: Column, weight: Column) -> Column:
@@ -17,27 +18,30 @@ def _interpolate(lo: Column, hi: Column, weight: Column) -> Column:
 
 
 def time_quantile(events: DataFrame, fraction: float, by: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Linear-interpolated quantile of ``timestamp`` per group, in microseconds (``cut_us``).
+    """Linear-interpolated quantile of ``timestamp`` per group, in microseconds (``cut_us``), and its first and last time.
 
     A count per minute finds the one or two minutes that hold the wanted positions; only their events are
     looked at again, folded to distinct microseconds. No step holds a group's events in one task.
     """
     us = tp.micros(F.col("timestamp"))
     stamped = events.select(*by, us.alias("us"), F.floor(us / 60_000_000).alias("minute"))
-    per_minute = stamped.groupBy(*by, "minute").agg(F.count(F.lit(1)).alias("n"))
+    per_minute = stamped.groupBy(*by, "minute").agg(
+        F.count(F.lit(1)).alias("n"), F.min("us").alias("lo_us"), F.max("us").alias("hi_us")
+    )
     group = Window.partitionBy(*by)
     upto = group.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
     placed = per_minute.withColumn("after", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(group))
+    placed = placed.withColumn("first_us", F.min("lo_us").over(group)).withColumn("last_us", F.max("hi_us").over(group))
     position = (F.col("total") - 1) * F.lit(fraction)
     lo_at, hi_at = F.floor(position), F.ceil(position)
     before = F.col("after") - F.col("n")
     holds = lambda at: (before <= at) & (at < F.col("after"))
     target = placed.filter(holds(lo_at) | holds(hi_at)).select(
         *by, "minute", before.alias("before"), lo_at.alias("lo_at"), hi_at.alias("hi_at"),
-        (position - lo_at).alias("weight"),
+        (position - lo_at).alias("weight"), "first_us", "last_us",
     )
     exact = stamped.groupBy(*by, "minute", "us").agg(F.count(F.lit(1)).alias("m"))
-    exact = exact.join(target, [*by, "minute"])
+    exact = attach_groups(exact, target, [*by, "minute"])
     inside = Window.partitionBy(*by, "minute").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
     exact = exact.withColumn("last", F.col("before") + F.sum("m").over(inside))
     covers = lambda at: (F.col("last") - F.col("m") <= F.col(at)) & (F.col(at) < F.col("last"))
@@ -46,9 +50,11 @@ def time_quantile(events: DataFrame, fraction: float, by: Sequence[str] = ("data
             _interpolate(
                 F.max(F.when(covers("lo_at"), F.col("us"))),
                 F.max(F.when(covers("hi_at"), F.col("us"))),
-                F.first("weight"),
+                F.max("weight"),
             )
-        ).alias("cut_us")
+        ).alias("cut_us"),
+        F.max("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
     )
 
 
@@ -57,17 +63,16 @@ def chronological_events(events: DataFrame, fraction: float = 0.7, by: Sequence[
 
     If one part would be empty (all times equal), the first ``fraction`` of the rows by (time, id) is train.
     """
-    cuts = time_quantile(events, fraction, by)
-    marked = events.join(cuts, list(by)).withColumn("_late", tp.micros(F.col("timestamp")) > F.col("cut_us"))
-    sides = marked.groupBy(*by).agg(F.min("_late").alias("_min"), F.max("_late").alias("_max"))
-    marked = marked.join(sides, list(by))
-    degenerate = F.col("_min") == F.col("_max")
-    out = marked.filter(~degenerate).withColumn("part", F.when(F.col("_late"), "test").otherwise("train"))
-    drop = ["_late", "_min", "_max"]
-    flat = sides.filter("_min = _max")
-    if flat.limit(1).count() == 0:
+    cuts = cut(time_quantile(events, fraction, by))
+    flat = (F.col("last_us") <= F.col("cut_us")) | (F.col("first_us") > F.col("cut_us"))
+    n_flat = cuts.filter(flat).count()
+    marked = attach_groups(events, cuts, by)
+    late = tp.micros(F.col("timestamp")) > F.col("cut_us")
+    out = marked.filter(~flat).withColumn("part", F.when(late, "test").otherwise("train"))
+    drop = ["first_us", "last_us"]
+    if not n_flat:
         return out.drop(*drop)
-    order = ranked(marked.filter(degenerate), by, [F.col("timestamp"), F.col("event_id")])
+    order = ranked(marked.filter(flat), by, [F.col("timestamp"), F.col("event_id")])
     n_train = F.greatest(F.lit(1), F.floor(F.col("group_size") * F.lit(fraction)))
     rest = order.withColumn("part", F.when(F.col("rank") <= n_train, "train").otherwise("test"))
     return out.drop(*drop).unionByName(rest.drop(*drop, "rank", "group_size"))
@@ -83,7 +88,7 @@ def chronological_user_days(user_days: DataFrame, fraction: float = 0.7,
                             by: Sequence[str] = ("dataset",)) -> DataFrame:
     cuts = day_quantile(user_days, fraction, by)
     late = F.unix_date("day") > F.col("cut_day")
-    return user_days.join(cuts, list(by)).withColumn("part", F.when(late, "test").otherwise("train"))
+    return attach_groups(user_days, cuts, by).withColumn("part", F.when(late, "test").otherwise("train"))
 
 
 def median_positive_day(user_days: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def active_window_quantile(user_days: DataFrame, fraction: float = 0.7) -> DataF
     span = user_days.filter("label = 1").groupBy("dataset").agg(
         F.min("day").alias("first_day"), F.max("day").alias("last_day")
     )
-    inside = user_days.join(span, "dataset").filter(F.col("day").between(F.col("first_day"), F.col("last_day")))
+    inside = attach_groups(user_days, span, ["dataset"]).filter(F.col("day").between(F.col("first_day"), F.col("last_day")))
     return day_quantile(inside, fraction).join(span, "dataset")
 
 

@@ -483,10 +483,10 @@ def _distances(f):
     """Distance of two domains' mean vectors on pooled scale, for three features."""
     cols = ["n_events", "n_distinct_hosts", "hour_mean"]
     means = f.groupBy("dataset").agg(*[F.avg(c).alias(c) for c in cols])
-    scale = f.agg(*[F.var_pop(c).alias(f"v_{c}") for c in cols])
+    scale = f.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     one, other = means.toDF("a", *[f"a_{c}" for c in cols]), means.toDF("b", *[f"b_{c}" for c in cols])
-    gap = [F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) / F.col(f"v_{c}") for c in cols]
-    return one.join(other, F.col("a") < F.col("b")).join(F.broadcast(scale)).select("a", "b", sum(gap[1:], gap[0]).alias("distance"))
+    gap = [F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) / F.lit(scale[c]) for c in cols]
+    return one.join(other, F.col("a") < F.col("b")).select("a", "b", sum(gap[1:], gap[0]).alias("distance"))
 
 
 @query(
