@@ -68,7 +68,10 @@ def paired_delta(results: DataFrame, cell: Sequence[str], first: str, second: st
 
 
 def with_interval_words(rows: DataFrame, mean: str, lo: str, hi: str) -> DataFrame:
-    """A: interval above 0; C: below 0; B: includes 0. Plus status, claim flag and Yes/No/RF label."""
+    """A: interval above 0; C: below 0; B: includes 0. Plus status, claim flag and Yes/No/RF label.
+
+    The class, status and label words are fixed values of the result tables.
+    """
     m, l, h = F.col(mean), F.col(lo), F.col(hi)
     cls = F.when((l > 0) & (h > 0), "A").when((h < 0) & (l < 0), "C").otherwise("B")
     return (
