@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daymark.llm import lines, simhash
-from daymark.llm.common import documents
+from daymark.llm import langid, lines, mixing, packing, quality, simhash
+from daymark.llm.common import documents, remainder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,53 @@ BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 def op5_line_dedup(spark, sf_dir):
     kept = lines.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+POWER = 0.7
+
+
+@query(
+    "op2_poisson_mix",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS source FROM documents),
+    s AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
+    r AS (SELECT source, pow(n::DOUBLE, {POWER}) / sum(pow(n::DOUBLE, {POWER})) OVER () * sum(n) OVER () / n AS rate FROM s),
+    m AS (SELECT *, CAST(ceil(rate / 50.0) AS INT) AS draws, rate / ceil(rate / 50.0) AS mean FROM r),
+    k AS (SELECT *, unnest(range(0, CAST(floor(mean + 12 * sqrt(mean) + 20) AS INT) + 1)) AS k FROM m),
+    p AS (SELECT *, exp(-mean + k * ln(mean) - sum(ln(greatest(k, 1))) OVER (PARTITION BY source ORDER BY k)) AS p FROM k),
+    c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM p),
+    u AS (SELECT d.*, m.draws, m.rate, CAST(('0x' || substr(md5('mix:' || doc_id || ':' || j), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+      FROM d JOIN m USING (source), LATERAL (SELECT unnest(range(1, m.draws + 1)) AS j)),
+    n AS (SELECT u.doc_id, u.source, u.rate, CAST(count(c.k) AS BIGINT) AS n_copies
+      FROM u LEFT JOIN c ON c.source = u.source AND u.u >= c.below GROUP BY ALL),
+    x AS (SELECT doc_id, source, rate, n_copies, unnest(range(0, n_copies)) AS copy FROM n)
+    SELECT doc_id, source, copy, round(rate, 9) AS rate, md5('mix-order:' || doc_id || ':' || copy) AS shuffle_key FROM x
+    """,
+)
+def op2_poisson_mix(spark, sf_dir):
+    mixed = mixing.mix(documents(spark, sf_dir), power=POWER)
+    return mixed.select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"), "shuffle_key")
+
+
+def digested(pieces):
+    """Pieces with the CRC-32 of their ids instead of the ids."""
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf_dir):
+    packed = packing.pack(digested(packing.tokenise(documents(spark, sf_dir))))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_language_mixture")
+def op7_language_mixture(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    judged = langid.predict(docs.select("doc_id", "text"), langid.train(langid.learned(docs)))
+    return judged.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "shares", "unexplained")
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    found = quality.judged(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
