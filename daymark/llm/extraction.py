@@ -173,25 +173,29 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if tag in INLINE:
             continue
         close()
-        if tag in VOID or tag in LOOSE and not attributes:
-            if tag not in VOID:
-                in_link = 0
+        if tag in VOID:
             continue
-        if closing:
+        if not closing:
+            in_link = 0
+        if tag in LOOSE:  # an open one of the same kind ends here
+            top = len(open_)
+            while top and open_[top - 1][0] in LOOSE:
+                top -= 1
+                if open_[top][0] == tag:
+                    del open_[top:]
+                    break
+            if not closing and attributes:
+                open_.append((tag, *surroundings(tag, attributes, main)))
+        elif closing:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
                     del open_[i:]
                     break
         else:
-            if tag in LOOSE:  # an open one of the same kind ends here
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == tag:
-                        del open_[i:]
-                    if open_[i : i + 1] and open_[i][0] not in LOOSE:
-                        break
+            while open_ and open_[-1][0] == "p":
+                open_.pop()
             if not attributes.endswith("/"):
                 open_.append((tag, *surroundings(tag, attributes, main)))
-            in_link = 0
         main, other = any(x[1] for x in open_), any(x[2] for x in open_)
     close()
     return found

@@ -36,7 +36,9 @@ IP, CARD, PHONE = (re.compile(BASE[k]) for k in ("ip", "card", "phone"))
 SPELLED_DOMAIN = re.compile(r" ?([A-Za-z0-9-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]+)+)")
 SIX = re.compile(r"[0-9A-Fa-f:]*(?:(?<=:)[0-9]+(?:\.[0-9]+){3})?")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-CUED = re.compile(r"(?:[ _-]?(?:id|ID|key|Key|KEY|no\.?|No\.?|nr\.?|Nr\.?|number|Number|NUMBER))?(?:\s?[:=#]\s?|\s)[\"']?([A-Za-z0-9_-]{6,}(?: [0-9]{2,})*)")
+BEHIND_CUE = re.compile(r"(?:[ _-]?(?:id|ID|key|Key|KEY|no\.?|No\.?|nr\.?|Nr\.?|number|Number|NUMBER))?(?:\s?[:=#]\s?|\s)[\"']?(?=[A-Za-z0-9])")
+VALUE = re.compile(r"[A-Za-z0-9_-]{6,}(?: [0-9]{2,})*")
+AUTHORITY = re.compile(r"[^\s/?#\"'<>]*")
 #: Fixed words: cues behind which an identifier stands, and schemes.
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "passport", "ssn", "token", "password", "passwd", "secret", "api key", "api_key", "apikey")
 SCHEMES = ("://", "mailto:")
@@ -91,7 +93,7 @@ def scan(text: str, anchors) -> list[tuple[str, int, int, bool]]:
                 continue
             if last >= ip_end and (found := IP.match(text, last)):
                 ip_end = found.end()
-                if all(int(p) <= 255 if len(p) < 40 else int(p.lstrip("0")[:4] or 0) <= 255 for p in found.group().split(".")):
+                if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in found.group().split(".")):
                     base["ip"].append(found.span())
             if last >= card_end and (found := CARD.match(text, last)):
                 card_end = found.end()
@@ -128,21 +130,19 @@ def scan(text: str, anchors) -> list[tuple[str, int, int, bool]]:
             if start < end and (found := SPELLED_DOMAIN.match(text, last + 1)):
                 more["email"].append((start, found.end()))
         elif anchor == "://":
-            authority = re.compile(r"[^\s/?#\"'<>]*").match(text, last + 1)
-            if (at := authority.group().rfind("@")) > 0:
+            authority = AUTHORITY.match(text, last + 1).group()
+            if (at := authority.rfind("@")) > 0:
                 more["account"].append((last + 1, last + 1 + at))
         elif anchor == "cue":
-            if (found := CUED.match(text, last + 1)) is None:
+            if (before := BEHIND_CUE.match(text, last + 1)) is None:
                 continue
-            start = found.start(1)
-            number = IBAN.match(text, start)
+            number = IBAN.match(text, before.end())
             if number and iban_valid(number.group().replace(" ", "")):
                 more["account"].append(number.span())
-                continue
-            value = found.group(1)
-            head = value.split(" ")[0]
-            if sum(c in DIGITS for c in value) >= 6 and sum(c in DIGITS for c in head) >= 2:
-                more["account"].append(found.span(1))
+            elif value := VALUE.match(text, before.end()):
+                head = value.group().split(" ")[0]
+                if sum(c in DIGITS for c in value.group()) >= 6 and sum(c in DIGITS for c in head) >= 2:
+                    more["account"].append(value.span())
     out = []
     for kind in KINDS:
         spans = [(s, e, True) for s, e in base[kind]]
