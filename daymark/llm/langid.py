@@ -152,5 +152,9 @@ def learned(docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """``docs`` without documents that no learned language explains: no letters, or mostly background."""
-    judged = predict(docs, train(learned(docs)))
-    return judged.where("lang_pred <> 'und' and unexplained <= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW_COLUMNS])
+    model = train(learned(docs))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # clear of the names that a prediction adds
+    at = docs.columns.index("text")
+    judged = predict(docs.toDF(*names).withColumnRenamed(names[at], "text"), model)
+    kept = judged.where("lang_pred <> 'und' and unexplained <= 0.5")
+    return kept.select(*["text" if i == at else n for i, n in enumerate(names)]).toDF(*docs.columns)

@@ -34,9 +34,8 @@ def rates(docs: DataFrame, by: str, weights: DataFrame | None, power: float, epo
         weighed = sizes.withColumn("weight", F.pow("n", F.lit(power)))
     else:
         weighed = sizes.join(weights.select(F.col("source").cast("string"), F.col("weight").cast("double")), "source", "left").fillna(0.0, ["weight"])
-    sums = weighed.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
-    rated = weighed.join(F.broadcast(sums)).select(  # one row
-        "source", (F.col("weight") / F.col("all_weight") * F.lit(epochs) * F.col("all_n") / F.col("n")).alias("rate"))
+    all_n, all_weight = weighed.agg(F.sum("n"), F.sum("weight")).first()
+    rated = weighed.select("source", (F.col("weight") / F.lit(all_weight or 1.0) * F.lit(epochs) * F.lit(all_n or 0) / F.col("n")).alias("rate"))
     rated = rated.where("rate > 0").withColumn("draws", F.ceil(F.col("rate") / SPLIT).cast("int"))
     mean = (F.col("rate") / F.col("draws")).alias("mean")
     steps = rated.select("source", "draws", "rate", mean).select("*", F.explode(F.expr("sequence(0, cast(mean + 12 * sqrt(mean) + 20 as int))")).alias("k"))

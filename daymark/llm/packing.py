@@ -4,8 +4,8 @@ Every document is tokenised and closed by an end token; only documents longer th
 is the number of pieces of each length, at most ``size`` numbers, so the packing is planned on counts: a plan is a list of
 patterns (the lengths in a sequence) with the number of sequences that follow each.
 
-1. Exact complements: for each length from the longest down, the gap it leaves is filled exactly by one, two or three
-   lengths whose sum is the gap. The combination is used as often as the counts allow.
+1. Exact complements: for each length from the longest down, the gap it leaves is filled exactly by one length, in a
+   second and a third pass by two and three whose sum is the gap. A combination is used as often as the counts allow.
 2. Best fit for the residue: in decreasing length into the smallest gap that takes it, many equal bins at a time.
 
 Each step uses up a length or a kind of gap, so a plan has some thousands of patterns whether there are a thousand pieces or
@@ -124,50 +124,59 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, en
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE_COLUMNS)
 
 
-def complement(counts: np.ndarray, a: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that are there besides one piece of length ``a`` and sum to ``gap``; long ones first."""
-    there = counts > 0
-    there[a] = counts[a] > 1
-    if there[gap]:
-        return (gap,)
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        if total < 2:
-            return None
-        high = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
-        good = high[there[high] & there[total - high]]
-        for b in good.tolist():
-            if 2 * b != total or counts[b] > 1 + (b == a):
-                return b, total - b
+def pair(counts: np.ndarray, there: np.ndarray, a: int, total: int, most: int) -> tuple[int, int] | None:
+    """Two lengths of at most ``most`` with the sum ``total`` besides one piece of length ``a``, the longest first."""
+    if total < 2:
         return None
+    high = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
+    for b in high[there[high] & there[total - high]].tolist():
+        if 2 * b != total or counts[b] > 1 + (b == a):
+            return b, total - b
+    return None
+
 
-    if found := pair(gap, gap):
-        return found
-    for b in (np.flatnonzero(there[: gap - 1])[::-1] if gap > 2 else []):
+def complement(counts: np.ndarray, a: int, gap: int, number: int) -> tuple[int, ...] | None:
+    """As many lengths as ``number`` (one to three) that are there besides one piece of length ``a`` and sum to ``gap``."""
+    there = counts > 0
+    there[a] = counts[a] > 1
+    if number == 1:
+        return (gap,) if there[gap] else None
+    if number == 2:
+        return pair(counts, there, a, gap, gap)
+    for b in np.flatnonzero(there[: max(0, gap - 1)])[::-1].tolist():
         if 3 * b < gap:
-            break
-        found = pair(gap - int(b), int(b))
-        if found:
-            trio = (int(b), *found)
+            return None
+        if found := pair(counts, there, a, gap - b, b):
+            trio = (b, *found)
             if all(counts[x] >= trio.count(x) + (x == a) for x in trio):
                 return trio
     return None
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences follow each; together they use every piece of ``counts`` once."""
+    """Patterns of lengths and how many sequences follow each; together they use every piece of ``counts`` once.
+
+    Gaps are filled exactly by single lengths first, over all lengths, then by pairs, then by triples. Where few lengths occur, exact triples can
+    spend short pieces that best fit uses better, so plans that stop at pairs and at singles are made too, and the shortest one is taken.
+    """
+    plans = [plan_with(counts, size, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda patterns: sum(n for _, n in patterns))
+
+
+def plan_with(counts: np.ndarray, size: int, most_lengths: int) -> list[tuple[tuple[int, ...], int]]:
     counts = counts.astype(np.int64).copy()
     patterns: list[tuple[tuple[int, ...], int]] = []
     if counts[size]:
         patterns.append(((size,), int(counts[size])))
         counts[size] = 0
-    for a in range(size - 1, 0, -1):
-        while counts[a] > 0 and (rest := complement(counts, a, size - a)) is not None:
-            pattern = (a, *rest)
-            times = min(int(counts[x]) // pattern.count(x) for x in set(pattern))
-            for x in pattern:
-                counts[x] -= times
-            patterns.append((pattern, times))
+    for number in range(1, most_lengths + 1):
+        for a in range(size - 1, 0, -1):
+            while counts[a] > 0 and (rest := complement(counts, a, size - a, number)) is not None:
+                pattern = (a, *rest)
+                times = min(int(counts[x]) // pattern.count(x) for x in set(pattern))
+                for x in pattern:
+                    counts[x] -= times
+                patterns.append((pattern, times))
     # Best fit: bins of equal gap and pattern are handled together.
     open_: dict[int, list[list]] = {}
     gaps: list[int] = []
