@@ -123,8 +123,7 @@ def spread(rows: DataFrame, n_rows: int, per_task: int = 20_000) -> DataFrame:
 
     The number of partitions follows the number of rows, since every iteration pays for each of them.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(1, min(cores * 4, math.ceil(n_rows / per_task))))
+    return rows.repartition(max(1, math.ceil(n_rows / per_task)))
 
 
 def _columns(train: DataFrame, columns: Sequence[str] | None) -> list[str]:

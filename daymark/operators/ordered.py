@@ -13,20 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymark.session import cut
-
-
-SMALL_ROWS = 200_000
+from daymark.session import cut, fixed
 
 
 def attach_groups(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join a table with one row per group (a domain, a cell) to the rows of the groups.
 
-    The table is materialised and counted. Up to ``SMALL_ROWS`` rows it is broadcast, so the rows are not
-    shuffled by their few, heavy groups; above that it is an ordinary join.
+    The table is written first, so Spark knows its bytes: a small one is broadcast by the session's threshold and the rows are not
+    shuffled by their few, heavy groups; a large one meets them in an ordinary join, with splitting of skewed groups.
     """
-    fixed = cut(table)
-    return rows.join(F.broadcast(fixed) if fixed.count() <= SMALL_ROWS else fixed, list(by))
+    return rows.join(fixed(table), list(by))
 
 
 def slices(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -68,7 +68,9 @@ def domain_manifest(events: DataFrame) -> DataFrame:
 def histogram(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Counts of value combinations and their share of the group."""
     counts = rows.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+    joined = attach_groups(counts, totals, by)
+    return joined.withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def top_entries(counts: DataFrame, columns: Sequence[str], k: int = 20, by: Sequence[str] = ("dataset",)) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,9 +151,11 @@ def distance_with_lift(rows: DataFrame, distances: DataFrame) -> DataFrame:
 
 
 def _upper_normal(z: Column) -> Column:
+    """Upper tail of the standard normal distribution."""
+
     @F.pandas_udf("double")
     def tail(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2)))
+        return pd.Series(np.frompyfunc(math.erfc, 1, 1)(x.to_numpy(float) / math.sqrt(2)).astype(float) / 2).where(x.notna().to_numpy())
 
     return tail(z)
 
@@ -166,8 +169,8 @@ def average_rank(value: Column, *by: str) -> Column:
 def wilcoxon(pairs: DataFrame, first: str = "first", second: str = "second", by: Sequence[str] = ()) -> DataFrame:
     """One-sided signed-rank test that ``first`` is larger; zero differences are dropped.
 
-    Up to 20 pairs without ties the p value is exact (all sign patterns), beyond that normal with tie
-    correction. Pairs are result cells, so there are few.
+    Without ties the p value is exact for any number of pairs: the null distribution of the rank sum is folded rank by rank, each rank
+    counting with chance one half. With ties it is normal with tie correction. Pairs are result cells, so there are few.
     """
     by = list(by)
     d = pairs.select(*by, (F.col(first) - F.col(second)).alias("d")).filter("d <> 0")
@@ -181,22 +184,19 @@ def wilcoxon(pairs: DataFrame, first: str = "first", second: str = "second", by:
         F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w"),
         F.sum((F.col("t") * F.col("t") - 1) / 48).alias("tie_term"),
         F.max("t").alias("max_tie"),
-        F.array_sort(F.collect_list("r")).alias("ranks"),
+        F.array_sort(F.collect_list("r")).alias("ranks"),  # one per cell
     )
     n = F.col("n_pairs")
     mean = n * (n + 1) / 4
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term")
     stats = stats.withColumn("p_normal", _upper_normal((F.col("w") - mean) / F.sqrt(var)))
-    patterns = stats.filter((n <= 20) & (F.col("max_tie") == 1)).select(
-        *keys, "w", "ranks", n.alias("n"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), n).cast("long") - 1)).alias("code"),
-    )
-    total = F.aggregate(
-        F.transform("ranks", lambda r, i: F.when(F.getbit("code", i) == 1, r).otherwise(0.0)),
-        F.lit(0.0), lambda acc, x: acc + x,
+    zeros = lambda r: F.array_repeat(F.lit(0.0), r.cast("int"))
+    chances = F.aggregate(
+        F.col("ranks"), F.array(F.lit(1.0)),
+        lambda acc, r: F.zip_with(F.concat(acc, zeros(r)), F.concat(zeros(r), acc), lambda out, with_r: (out + with_r) / 2),
     )
-    exact = patterns.groupBy(*keys).agg(F.avg((total >= F.col("w") - 1e-9).cast("double")).alias("p_exact"))
-    out = stats.join(exact, keys, "left").withColumn("p_value", F.coalesce("p_exact", "p_normal"))
+    upper = F.aggregate(F.slice(chances, F.col("w").cast("int") + 1, F.size(chances)), F.lit(0.0), lambda acc, p: acc + p)
+    out = stats.withColumn("p_exact", F.when(F.col("max_tie") == 1, upper)).withColumn("p_value", F.coalesce("p_exact", "p_normal"))
     return out.select(*by, "n_pairs", "w", "p_value", F.col("p_exact").isNotNull().alias("exact"))
 
 

@@ -92,8 +92,12 @@ def transition_model(train: DataFrame, smoothing: float = 1.0) -> DataFrame:
 
 
 def sequence_scores(pairs: DataFrame, model: DataFrame) -> DataFrame:
-    """Per user-day: mean and largest surprise of its actions. The model has a fixed size, so it is broadcast."""
-    scored = pairs.join(F.broadcast(model), ["prev", "action"])
+    """Per user-day: mean and largest surprise of its actions. The model has a fixed size, so it is broadcast.
+
+    A transition that the model lacks is as surprising as its most surprising one.
+    """
+    floor = model.agg(F.min("log_p")).first()[0] or 0.0
+    scored = pairs.join(F.broadcast(model), ["prev", "action"], "left").fillna(floor, ["log_p"])
     return scored.groupBy(*USER_DAY_KEY).agg(
         (-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("mean_surprise"),
         F.max(-F.col("log_p")).alias("max_surprise"),
@@ -109,17 +113,25 @@ def decayed_profile(daily: DataFrame, keys: Sequence[str], columns: Sequence[str
     """Exponentially decayed sums of ``columns`` over strictly earlier days of each key.
 
     The weight is ``exp(-age / time_constant)`` with the age in days: a running sum of counts grown by their day's
-    weight, shrunk back at the reading day. Weights are relative to the key's first day.
+    weight, shrunk back at the reading day. Weights are relative to the start of a block of 100 time constants; the total of
+    the block before is added, and what is older weighs less than e^-100.
     """
-    rate = 1.0 / time_constant
+    rate, span = 1.0 / time_constant, round(100 * time_constant)
     group = Window.partitionBy(*keys)
     age = F.datediff(F.col("day"), F.min("day").over(group))
-    aged = daily.withColumn("_age", age)
-    earlier = group.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    grow, shrink = F.exp(F.col("_age") * rate), F.exp(-F.col("_age") * rate)
-    return aged.withColumns(
-        {f"{prefix}{c}": F.coalesce(F.sum(F.col(c) * grow).over(earlier) * shrink, F.lit(0.0)) for c in columns}
-    ).drop("_age")
+    aged = daily.withColumn("_age", age).withColumn("_block", F.floor(F.col("_age") / span))
+    block = Window.partitionBy(*keys, "_block")
+    earlier = block.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    grow = F.exp((F.col("_age") - F.col("_block") * span) * rate)
+    here = aged.withColumns({f"_in_{c}": F.coalesce(F.sum(F.col(c) * grow).over(earlier) / grow, F.lit(0.0)) for c in columns})
+    here = here.withColumns({f"_all_{c}": F.sum(F.col(c) * grow).over(block) for c in columns})
+    # The last row before a block carries the total of the block it belongs to.
+    before = group.orderBy("day")
+    here = here.withColumns({f"_lag_{c}": F.lag(f"_all_{c}").over(before) for c in columns} | {"_lag_block": F.lag("_block").over(before)})
+    first = block.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    shrink = F.exp(-(F.col("_age") - F.first("_lag_block").over(first) * span) * rate)
+    out = here.withColumns({f"{prefix}{c}": F.col(f"_in_{c}") + F.coalesce(F.first(f"_lag_{c}").over(first) * shrink, F.lit(0.0)) for c in columns})
+    return out.drop("_age", "_block", "_lag_block", *[f"_{k}_{c}" for k in ("in", "all", "lag") for c in columns])
 
 
 def memory_features(events: DataFrame, features: DataFrame, time_constant: float = 7.0) -> DataFrame:

@@ -38,14 +38,26 @@ def rounded(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
 
 DOMAINS = ["ev0", "ev1", "ev2", "retail"]
 SEEDS = [0, 1, 2, 3, 4]
-_TABLES: dict[tuple[str, str, str], str] = {}
+_TABLES: dict[tuple, str] = {}
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, length and time of every input file: another key when a table changes."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result rows of the model-free grid, computed once per session and kept in the shared folder."""
+    """The result rows of the model-free grid, kept in the shared folder for a session and unchanged input files."""
     from daymark.plans.score_grid import grid_results
 
-    key = (spark.sparkContext.applicationId, sf_dir, "results")
+    key = (spark.sparkContext.applicationId, inputs(spark, sf_dir))
     if key not in _TABLES:
         path = work_path(spark, "results")
         grid_results(user_days(spark, sf_dir, staged=True), DOMAINS, SEEDS).write.parquet(path)

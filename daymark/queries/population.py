@@ -240,13 +240,13 @@ _UD_ID = "\"user\" || '@' || day"
         f"""SELECT dataset, "user", day, rank, group_size FROM (SELECT dataset, "user", day,
           row_number() OVER (PARTITION BY dataset ORDER BY md5('0:' || {_UD_ID}), {_UD_ID}) AS rank,
           count(*) OVER (PARTITION BY dataset) AS group_size FROM ud)
-        WHERE rank <= least((SELECT min(n) FROM (SELECT count(*) AS n FROM ud GROUP BY dataset)), 1000)""",
+        WHERE rank <= (SELECT min(n) FROM (SELECT count(*) AS n FROM ud GROUP BY dataset))""",
         "ud",
     ),
 )
 def balanced_pair_sample(spark, sf_dir):
     f = user_days(spark, sf_dir).withColumn("id", F.concat_ws("@", "user", "day"))
-    return sm.balanced_sample(f, F.col("id"), seed=0, cap=1000).select("dataset", "user", "day", "rank", "group_size")
+    return sm.balanced_sample(f, F.col("id"), seed=0).select("dataset", "user", "day", "rank", "group_size")
 
 
 @query(

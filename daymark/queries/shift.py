@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from daymark import schema as sc
 from daymark.operators import shift as sh
-from daymark.queries.common import DOMAINS, rounded, stage, user_days
+from daymark.queries.common import DOMAINS, rounded, user_days
 from daymark.queries.registry import cte, query, sql
+from daymark.session import cut
 
 _COLS = sc.BASE_COLUMNS
 cte(
@@ -18,7 +17,7 @@ cte(
         row_number() OVER (PARTITION BY p.a, p.b, k.seed, u.dataset ORDER BY md5(k.seed || ':' || u."user" || ':' || u.day), u."user", u.day)
           AS r, count(*) OVER (PARTITION BY p.a, p.b, k.seed, u.dataset) AS side_n
       FROM ud u JOIN (SELECT x.d AS a, y.d AS b FROM (SELECT DISTINCT dataset AS d FROM ud) x, (SELECT DISTINCT dataset AS d FROM ud) y
-        WHERE x.d < y.d) p ON u.dataset IN (p.a, p.b), (SELECT unnest([0, 1, 2]) AS seed) k)) WHERE r <= least(n_balanced, 50000)
+        WHERE x.d < y.d) p ON u.dataset IN (p.a, p.b), (SELECT unnest([0, 1, 2]) AS seed) k)) WHERE r <= n_balanced
     """,
     "ud",
 )
@@ -55,13 +54,11 @@ def domain_gap_summary(spark, sf_dir):
 
 @query("rbf_domain_gap")
 def rbf_domain_gap(spark, sf_dir):
-    samples = sh.pair_samples(user_days(spark, sf_dir), DOMAINS, seeds=(0,))
+    samples = cut(sh.pair_samples(user_days(spark, sf_dir), DOMAINS, seeds=(0, 1, 2)))
     return sh.rbf_mmd(samples, _COLS)
 
 
 @query("domain_classifier_gap")
 def domain_classifier_gap(spark, sf_dir):
-    """All events against all retail rows."""
-    f = user_days(spark, sf_dir, deviation=True)
-    f = stage(f.withColumn("dataset", F.when(F.col("dataset") == "retail", "retail").otherwise("events")), "two-domains")
-    return sh.pairwise_gap(f, ["events", "retail"], seeds=(0,))
+    """Every pair of domains, by all distances."""
+    return sh.pairwise_gap(user_days(spark, sf_dir, deviation=True, staged=True), DOMAINS, seeds=(0,))

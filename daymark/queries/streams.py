@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daymark import schema as sc
-from daymark.operators.features import base_features
 from daymark.queries.common import rounded
 from daymark.queries.features import REAL, sql_rounded
 from daymark.queries.registry import query, sql
@@ -51,24 +50,29 @@ def streamed_partials(spark, sf_dir):
     return rounded(ud.merged_features(spark, out), REAL, 6)
 
 
-_DEV = ["n_events", "cnt_http", "n_distinct_hosts", "frac_offhours"]
+_DEV = sc.BASE_COLUMNS
 
 
 @query(
     "streamed_deviation",
-    sql('SELECT dataset, "user", day, ' + ", ".join(f"round(dev_{c}, 2) AS dev_{c}" for c in _DEV) + " FROM dev", "dev"),
+    sql('SELECT dataset, "user", day, ' + ", ".join(f"round(dev_{c}, 3) AS dev_{c}" for c in _DEV) + " FROM dev", "dev"),
 )
 def streamed_deviation(spark, sf_dir):
+    """The closed days of the first stream feed the second one in three batches, by date; its state is read back between them."""
     folder, out, mark = (work_path(spark, n) for n in ("user-days", "deviation", "stream-checkpoint"))
-    base_features(tb.raw_events(spark, sf_dir)).write.parquet(folder)
+    days = spark.read.parquet(_closed_days(spark, sf_dir))
+    first, last = days.agg(F.min("day"), F.max("day")).first()
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     dv.use_rocksdb(spark)
     try:
-        days = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
-        ud.run_available(dv.deviation_stream(days, _DEV), out, mark)
+        for part in range(3):
+            third = F.least(F.floor(F.datediff("day", F.lit(first)) * 3 / (F.datediff(F.lit(last), F.lit(first)) + 1)), F.lit(2))
+            days.filter(third == part).write.mode("append").parquet(folder)
+            arriving = spark.readStream.schema(days.schema).parquet(folder)
+            ud.run_available(dv.deviation_stream(arriving, _DEV), out, mark)
     finally:
         if old is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    return rounded(spark.read.parquet(out), [f"dev_{c}" for c in _DEV], 2)
+    return rounded(spark.read.parquet(out), [f"dev_{c}" for c in _DEV], 3)

@@ -20,12 +20,13 @@ def get_spark(app: str = "daymark", cores: int | str = "*", shuffle: int = 8, **
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
@@ -54,3 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a working table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/daymark-{name}-{uuid.uuid4().hex}"
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, and of known size to the planner."""
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

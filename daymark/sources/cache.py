@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +58,9 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def write_predictions(predictions: DataFrame, path: str, fmt: str = "parquet",
                       cell: Sequence[str] = ("model", "source", "target", "seed")) -> None:
-    """Prediction rows (user, day, score, label) in one folder per cell; finished cells are left alone."""
-    writer = predictions.select(*cell, "user", "day", "score", "label").write.partitionBy(*cell).mode("append")
+    """Prediction rows (user, day, score, label) in one folder per cell. A cell that is written again replaces its rows; others stay."""
+    writer = predictions.select(*cell, "user", "day", "score", "label").write.partitionBy(*cell)
+    writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "parquet":
@@ -75,7 +75,5 @@ def append_rows(existing: DataFrame | None, rows: DataFrame) -> DataFrame:
 
 
 def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The table at ``path``, or None where nothing was written yet; a table that cannot be read is an error."""
+    return spark.read.parquet(path) if table_exists(spark, path) else None

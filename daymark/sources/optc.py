@@ -107,7 +107,7 @@ def read_intervals(spark: SparkSession, path: str, file: str | None = None) -> D
 def project(records: DataFrame, dominant: DataFrame, keep_service: bool = False, dataset: str = "optc") -> DataFrame:
     """Canonical columns, ``attribution`` and whatever label columns the records already carry."""
     props = F.col("properties")
-    port = F.coalesce(F.element_at(props, "dest_port"), F.element_at(props, "dst_port"))
+    port = F.coalesce(se.filled(F.element_at(props, "dest_port")), se.filled(F.element_at(props, "dst_port")))
     named = records.withColumn("user", principal(keep_service))
     users = attribute_users(named, dominant, "host")
     return users.select(

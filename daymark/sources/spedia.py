@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.functions import security as se
+from daymark.operators.labels import with_day
 from daymark.schema import EVENT_COLUMNS
 
 
 def read(spark: SparkSession, file: str) -> DataFrame:
-    """Quoted fields may hold line breaks, so the file is read unsplit and spread afterwards."""
+    """One file or a folder of shards. Quoted fields may hold line breaks, so each is read unsplit and spread afterwards."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(file)
     return rows.repartition(spark.sparkContext.defaultParallelism)
 
@@ -21,9 +22,9 @@ def project(raw: DataFrame, real_only: bool = False, threshold: str = "midly", d
     label = se.exercise_label(F.col("Description"), F.col("Level"), threshold)
     touched = [F.nullif(F.col(c), F.lit("")) for c in ("Command", "Url", "Filename", "Path") if c in raw.columns]
     host = F.coalesce("Agent_name", F.lit("nan"))
-    keep = ["event_id"] if "event_id" in raw.columns else []
+    own = F.col("event_id") if "event_id" in raw.columns else F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(raw.columns)])))
     return rows.select(
-        *keep,
+        own.alias("event_id"),
         F.try_to_timestamp("Timestamp").cast("timestamp_ntz").alias("timestamp"),
         F.coalesce("User", F.lit("unknown")).alias("user"),
         host.alias("src_host"),
@@ -38,4 +39,5 @@ def project(raw: DataFrame, real_only: bool = False, threshold: str = "midly", d
 
 def load(spark: SparkSession, file: str, real_only: bool = False, threshold: str = "midly",
          dataset: str = "spedia") -> DataFrame:
-    return project(read(spark, file), real_only, threshold, dataset).select(*EVENT_COLUMNS)
+    """Canonical events with ``event_id`` and ``day``. The log has no record id, so equal rows share one."""
+    return with_day(project(read(spark, file), real_only, threshold, dataset)).select(*EVENT_COLUMNS, "event_id", "day")

@@ -20,31 +20,35 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class EarlierDays(StatefulProcessor):
-    """Per user: number of days seen, running mean and squared deviations of each feature."""
+    """Per user: number of days seen, the first day's values, sums and squares of the differences to them, and the last day.
+
+    Differences to the user's first values keep constant features exact.
+    """
 
     def __init__(self, columns: Sequence[str]):
         self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stats", "n long, mean array<double>, m2 array<double>")
+        self.state = handle.getValueState("stats", "n long, base array<double>, total array<double>, squares array<double>, last date")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         days = pd.concat(list(rows), ignore_index=True).sort_values("day")
+        x = days[self.columns].to_numpy(dtype=float)
         if self.state.exists():
-            n, mean, m2 = self.state.get()
-            mean, m2 = np.array(mean, dtype=float), np.array(m2, dtype=float)
+            n, base, total, squares, last = self.state.get()
+            if days["day"].iloc[0] <= last:
+                raise ValueError(f"day {days['day'].iloc[0]} of {key} arrived after {last}")
+            base, total, squares = (np.array(v, dtype=float) for v in (base, total, squares))
         else:
-            n, mean, m2 = 0, np.zeros(len(self.columns)), np.zeros(len(self.columns))
-        x = days[self.columns].to_numpy(dtype=float)
-        out = np.zeros_like(x)
-        for i, row in enumerate(x):
-            if n:
-                out[i] = (row - mean) / (np.sqrt(m2 / n) + 1e-6)
-            n += 1
-            step = row - mean
-            mean = mean + step / n
-            m2 = m2 + step * (row - mean)
-        self.state.update((n, mean.tolist(), m2.tolist()))
+            n, base = 0, x[0]
+            total = squares = np.zeros(len(self.columns))
+        off = x - base
+        sums, sums2 = total + np.cumsum(off, axis=0), squares + np.cumsum(off * off, axis=0)
+        seen = n + np.arange(len(x))[:, None]
+        mean = np.vstack([total, sums[:-1]]) / np.maximum(seen, 1)
+        spread = np.sqrt(np.maximum(np.vstack([squares, sums2[:-1]]) / np.maximum(seen, 1) - mean * mean, 0.0))
+        out = np.where(seen > 0, (off - mean) / (spread + 1e-6), 0.0)
+        self.state.update((n + len(x), base.tolist(), sums[-1].tolist(), sums2[-1].tolist(), days["day"].iloc[-1]))
         result = days[["dataset", "user", "day"]].copy()
         for j, c in enumerate(self.columns):
             result[f"dev_{c}"] = out[:, j]
@@ -55,7 +59,8 @@ class EarlierDays(StatefulProcessor):
 
 
 def deviation_stream(user_days: DataFrame, columns: Sequence[str] = BASE_COLUMNS) -> DataFrame:
-    """``dev_x`` of each user-day as it closes. Days of a user must arrive in order; within a batch they are sorted."""
+    """``dev_x`` of each user-day as it closes. Days of a user must arrive in order: within a batch they are sorted,
+    and a batch with a day that is not after the user's last one stops the stream."""
     real = {"frac_offhours", "hour_mean", "hour_std"}
     exact = user_days.withColumns({c: F.round(F.col(c), 9) if c in real else F.col(c).cast("double") for c in columns})
     schema = "dataset string, user string, day date, " + ", ".join(f"dev_{c} double" for c in columns)
