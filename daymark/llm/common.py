@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.session import work_path
 
-#: White space of the contracts: \x20 and \x09 to \x0D.
-SPACES = " \t\n\x0b\x0c\r"
+BATCH = 1000
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -29,6 +30,17 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH`` rows, unless the session asks for another size than Spark's default.
+
+    Texts can be long, and a batch stands in memory several times: as a vector, as Arrow's buffers on both sides, and as Python objects.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df.mapInArrow(function, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daymark.llm.common import map_arrow
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
@@ -224,7 +226,7 @@ def split_blocks(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["page_id", "block", "text", "main", *NAMES])
 
     schema = "page_id long, block int, text string, main boolean, " + ", ".join(f"{n} double" for n in NAMES)
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, schema)
+    return map_arrow(pages.select(F.col("page_id").cast("long"), "html"), run, schema)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -243,4 +245,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append("\n".join(b[0] for b, x in zip(found, features(found)) if is_main(tree, x)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string")
+    return map_arrow(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), run, "page_id long, url string, text string")

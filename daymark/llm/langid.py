@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daymark.llm.common import remainder, table
+from daymark.llm.common import map_arrow, remainder, table
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 100
@@ -65,7 +65,8 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "bucket", "n"])
 
     labelled = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = table(labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    found = map_arrow(labelled, count, "lang string, bucket int, n long")
+    counts = table(found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     names = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -142,7 +143,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, shares string, unexplained double")
+    return map_arrow(rows, run, f"{schema}, lang_pred string, score double, shares string, unexplained double")
 
 
 def learned(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daymark.llm.common import table
+from daymark.llm.common import map_arrow, table
 
 KEYS_PER_SHARD = 20_000
 SLOTS = 4
@@ -128,7 +128,7 @@ def holdings(docs: DataFrame, min_chars: int = 40) -> DataFrame:
                 owners.extend([doc_id] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], ["key", "doc_id"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(extract, "key binary, doc_id long")
+    found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), extract, "key binary, doc_id long")
     return found.dropDuplicates(["key", "doc_id"])
 
 
@@ -230,7 +230,7 @@ def without_lines(docs: DataFrame, drops: DataFrame, min_chars: int = 40) -> Dat
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(lost, pa.int64())], [*kept, "n_lines", "n_dropped"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema])
-    return joined.mapInArrow(rewrite, f"{schema}, n_lines long, n_dropped long")
+    return map_arrow(joined, rewrite, f"{schema}, n_lines long, n_dropped long")
 
 
 class LineIndex:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymark.llm.common import table
+from daymark.llm.common import map_arrow, table
 
 CACHE = 400_000
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids binary"
@@ -121,7 +121,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, en
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE_COLUMNS)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECE_COLUMNS)
 
 
 def pair(counts: np.ndarray, there: np.ndarray, a: int, total: int, most: int) -> tuple[int, int] | None:
@@ -255,4 +255,4 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base[at] + rank), pa.array(offset[at])], [*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*[F.col(f"`{c}`") for c in kept]).schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return map_arrow(ranked, place, f"{schema}, sequence_id long, offset long")

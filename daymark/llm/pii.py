@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daymark.llm.common import map_arrow
+
 KINDS = ("email", "ip", "card", "phone", "account")
 #: The base patterns; ``scan`` reaches the same spans from anchors.
 BASE = {
@@ -185,4 +187,4 @@ def find(docs: DataFrame, redacted: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id long, spans {SPAN_TYPE}" + (", redacted_text string" if redacted else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
