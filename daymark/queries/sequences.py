@@ -113,7 +113,7 @@ def sequence_surprise(spark, sf_dir):
     return rounded(sq.sequence_scores(pairs, model), ["mean_surprise", "max_surprise"], 7)
 
 
-_MEM = ["http", "logon", "file_write"]
+_MEM = sc.ACTIONS
 _RATE = "(1.0 / 7.0)"
 cte(
     "hd",

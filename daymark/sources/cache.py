@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.operators.features import align_features
+from daymark.sources.files import exists
 
 
 def cache_name(domain: str, fraction: float) -> str:
@@ -76,4 +77,4 @@ def append_rows(existing: DataFrame | None, rows: DataFrame) -> DataFrame:
 
 def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None where nothing was written yet; a table that cannot be read is an error."""
-    return spark.read.parquet(path) if table_exists(spark, path) else None
+    return spark.read.parquet(path) if exists(spark, path) else None

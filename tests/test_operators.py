@@ -283,3 +283,41 @@ def test_permutation_importance_finds_the_used_column(spark):
     df = spark.createDataFrame(rows, "dataset string, user string, day date, label int, used double, noise double")
     got = {r["feature"]: r["importance"] for r in ex.permutation_importance(df, ["used", "noise"], lambda x: F.get(x, F.lit(0))).collect()}
     assert got["noise"] == pytest.approx(0.0) and got["used"] > 0.4
+
+
+def test_signed_rank_test_is_exact_beyond_twenty_pairs(spark):
+    from daymark.operators.results import wilcoxon
+
+    n = 25
+    values = [((-1) ** (i % 3 == 0)) * (i + 1) / 7 for i in range(n)]
+    row = wilcoxon(spark.createDataFrame([(v, 0.0) for v in values], "first double, second double")).first()
+    w = sum(i + 1 for i, v in enumerate(values) if v > 0)
+    ways = [1]
+    for r in range(1, n + 1):
+        ways = [(ways[s] if s < len(ways) else 0) + (ways[s - r] if 0 <= s - r < len(ways) else 0) for s in range(len(ways) + r)]
+    assert row["exact"] and row["w"] == w and abs(row["p_value"] - sum(ways[w:]) / 2**n) < 1e-12
+
+
+def test_decayed_profile_over_many_years(spark):
+    import datetime
+    import math
+
+    from daymark.operators.sequences import decayed_profile
+
+    start = datetime.date(1990, 1, 1)
+    ages = [0, 3, 650, 720, 721, 5200, 5201, 9000]
+    rows = spark.createDataFrame([("u", start + datetime.timedelta(days=a), float(a + 1)) for a in ages], "user string, day date, c double")
+    got = {(r["day"] - start).days: r["mem_c"] for r in decayed_profile(rows, ["user"], ["c"]).collect()}
+    for a in ages:
+        assert math.isclose(got[a], sum((b + 1) * math.exp(-(a - b) / 7) for b in ages if b < a), rel_tol=1e-9, abs_tol=1e-30)
+
+
+def test_misspelt_options_are_errors():
+    import pytest
+
+    from daymark.plans.protocols import factory
+
+    assert factory("random_forest", trees=3)(5).seed == 5
+    assert factory("logistic_regression", reg=0.1)(5).reg == 0.1
+    with pytest.raises(TypeError):
+        factory("random_forest", treees=3)(5)

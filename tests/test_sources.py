@@ -168,3 +168,41 @@ def test_cache_without_positives_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         cache.cached_events(spark, str(tmp_path), "d", 0.02, lambda: quiet)
     assert cache.cache_name("d", 0.02) == "events_d_bf002"
+
+
+def test_exercise_loader_keeps_the_common_contract(spark, tmp_path):
+    from daymark.operators.features import base_features
+    from daymark.schema import EVENT_COLUMNS
+    from daymark.sources import registry
+
+    (tmp_path / "a.csv").write_text(
+        "Agent_name,User,Timestamp,Decoder_name,Description,Level,Activity,Action,Command,Url,Filename,Path\n"
+        "h1,u1,2024-01-02 03:04:05,x,\"two\nlines\",3,Logon,Logon,,,,\n"
+        "h1,u1,2024-01-02 04:04:05,x,d,3,Logon,Logon,,,,\n")
+    events = registry.load(spark, "spedia", str(tmp_path))
+    assert events.columns == [*EVENT_COLUMNS, "event_id", "day"]
+    assert len({r["event_id"] for r in events.collect()}) == 2
+    row = base_features(events).first()
+    assert row["n_events"] == 2 and str(row["day"]) == "2024-01-02"
+
+
+def test_an_empty_port_gives_way_to_the_other_field(spark):
+    from pyspark.sql import functions as F
+
+    from daymark.functions import security as se
+
+    props = F.create_map(F.lit("dest_port"), F.lit(""), F.lit("dst_port"), F.lit("22"))
+    port = F.coalesce(se.filled(F.element_at(props, "dest_port")), se.filled(F.element_at(props, "dst_port")))
+    assert spark.range(1).select(se.host_action(F.lit("FLOW"), F.lit("START"), port).alias("a")).first()["a"] == "ssh"
+
+
+def test_written_cells_are_replaced_and_others_stay(spark, tmp_path):
+    from daymark.sources import cache
+
+    schema = "model string, source string, target string, seed int, user string, day string, score double, label int"
+    rows = spark.createDataFrame([("m", "a", "b", 0, "u", "d", 1.0, 0), ("m", "a", "c", 0, "u", "d", 2.0, 1)], schema)
+    path = str(tmp_path / "p")
+    assert cache.read_table_or_none(spark, path) is None
+    cache.write_predictions(rows, path)
+    cache.write_predictions(rows.filter("target = 'b'").withColumn("score", rows["score"] + 5), path)
+    assert sorted((r["target"], r["score"]) for r in cache.read_table_or_none(spark, path).collect()) == [("b", 6.0), ("c", 2.0)]
