@@ -41,6 +41,8 @@ OTHER_WORDS = {
     "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "form", "search", "comment", "comments", "reply", "replies", "respond",
     "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "more", "pagination", "pager", "tags", "copyright", "disclaimer", "skip",
 }
+#: Beginnings of compound names that count as the names above.
+STEMS = {"advert", "sponsor", "sidebar", "cookie", "breadcrumb", "newsletter", "navbar", "footer"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu"}
 NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "named", "in_main", "in_other")
 
@@ -103,39 +105,49 @@ def is_main(tree, row) -> bool:
     return bool(tree)
 
 
-def surroundings(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element names main text, and whether it names something else."""
-    main, other = tag in MAIN_TAGS, tag in OTHER_TAGS or tag == "header" and not in_main
+def names_in(value: str) -> set[str]:
+    """The words of a class or id, apart from what an element is said to have or lack (``has-sidebar``)."""
+    value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
+    value = re.sub(r"\b(?:has|no|with|without)[-_][a-z]+", " ", value)
+    words = set(re.split(r"[^a-z]+", value))
+    return words | {stem for stem in STEMS for w in words if w.startswith(stem)}
+
+
+def surroundings(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
+    """Whether an element names main text (2: an article, 1: a less certain name), and whether it names something else."""
+    main, other = 2 if tag == "article" else int(tag in MAIN_TAGS), tag in OTHER_TAGS or tag == "header" and not in_main
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values).lower()
+            name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", value))
+                words = names_in(value)
                 if tag in ("html", "body"):
                     continue
                 if tag in MAIN_TAGS:
                     other |= bool(words & {"comment", "comments", "reply", "replies"})
                     continue
                 other |= bool(words & OTHER_WORDS) or not in_main and bool(words & {"header", "top"})
-                main |= bool(words & MAIN_WORDS)
+                main = max(main, 2 * ("article" in words), int(bool(words & MAIN_WORDS)))
             elif name == "role":
-                other |= value in ROLES
-                main |= value in ("main", "article")
+                other |= value.lower() in ROLES
+                main = max(main, {"main": 1, "article": 2}.get(value.lower(), 0))
+            elif name == "itemprop" and value == "articleBody":
+                main = 2
             elif name == "style":
-                other |= "display:none" in value.replace(" ", "")
+                other |= "display:none" in value.lower().replace(" ", "")
         if re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", attributes, re.I):
             other = True
     return main, other
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """(text, words, link density, in main text, in something else) of each block that is not empty."""
-    found: list[tuple[str, int, float, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
+    """(text, words, link density, how main text is named, in something else) of each block that is not empty."""
+    found: list[tuple[str, int, float, int, bool]] = []
     text: list[str] = []
     links: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []
-    in_link = 0
-    main = other = False
+    open_: list[tuple[str, int, bool]] = []
+    in_link = main = 0
+    other = False
 
     def close() -> None:
         nonlocal text, links
@@ -198,17 +210,17 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 open_.pop()
             if not attributes.endswith("/"):
                 open_.append((tag, *surroundings(tag, attributes, main)))
-        main, other = any(x[1] for x in open_), any(x[2] for x in open_)
+        main, other = max((x[1] for x in open_), default=0), any(x[2] for x in open_)
     close()
     return found
 
 
 def features(found: list) -> list[tuple]:
-    """Values of ``NAMES`` for each block of a page."""
-    none = ("", 0, 0.0, False, False)
-    named = int(any(b[3] and not b[4] for b in found))
+    """Values of ``NAMES`` for each block of a page. Main text is what bears the most certain name on the page."""
+    none = ("", 0, 0.0, 0, False)
+    top = max((b[3] for b in found if not b[4]), default=0)
     around = zip(found, [none, *found[:-1]], [*found[1:], none])
-    return [(b[1], b[2], p[1], p[2], n[1], n[2], named, int(b[3]), int(b[4])) for b, p, n in around]
+    return [(b[1], b[2], p[1], p[2], n[1], n[2], int(top > 0), int(0 < top <= b[3]), int(b[4])) for b, p, n in around]
 
 
 def split_blocks(pages: DataFrame) -> DataFrame:

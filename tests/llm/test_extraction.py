@@ -28,6 +28,8 @@ PAGES = [
     ("<article><p>cut in the mid", "cut in the mid"), ("<article><p>cut in a tag</p><p cla", "cut in a tag"),
     ("<article><header><h1>Head</h1></header><p>Body<div class='comments'><p>No</p></div><footer>f</footer></article>", "Head\nBody"),
     ("<body><p>" + "long text of a page without any names " * 5 + "</p><p><a href=x>link</a> <a>link</a></p></body>", "long text of a page without any names " * 4 + "long text of a page without any names"),
+    ("<div class='layout has-sidebar'><main><h2>The Site</h2><div class='siteFooter'>f</div><article class='post no-comments'><p>a</p></article><p>b</p></main></div>", "a"),
+    ("<div id=cookieBanner>c</div><ol class='breadcrumbs-list'><li>x</ol><div itemprop='articleBody'>text</div>", "text"),
     ("<p hidden>no</p><article><p title='a > b'>yes</p></article>", "yes"), ("", ""), ("   ", ""), ("<", "") , ("<article></article>", ""),
 ]
 
