@@ -143,7 +143,7 @@ class ForestDetector:
         cols = _columns(train, self.columns)
         rows = assemble(balanced_weights(train, neg, pos), cols).select("features", "label", "weight")
         forest = RandomForestClassifier(
-            numTrees=self.trees, maxDepth=self.depth, maxBins=64, weightCol="weight", seed=self.seed,
+            numTrees=self.trees, maxDepth=self.depth, maxBins=32, weightCol="weight", seed=self.seed,
             featureSubsetStrategy="sqrt", subsamplingRate=1.0, maxMemoryInMB=1024,
         )
         model = forest.fit(spread(rows, neg + pos, 5_000))
