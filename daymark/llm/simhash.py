@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -
     linked = roots.join(prints, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first_doc").alias("component")), "root").select("fp", "component")
     labels = prints.join(named, "fp", "left").select("fp", F.coalesce("component", "first_doc").alias("component_id"))
+    labels = table(labels, "fingerprint-labels")  # so that the join with a fingerprint of very many documents can be split
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
