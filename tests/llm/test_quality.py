@@ -49,7 +49,8 @@ def test_estimates_resist_outliers(spark):
     bad = rng.normal(20, 0.5, (200, 5))
     x = np.concatenate([good, bad])
     rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"x{i} double" for i in range(5)))
-    model = quality.robust_estimates(rows).first()
+    estimated = quality.robust_estimates(rows)
+    model = estimated.first()
     mean = np.array([model[f"m{i}"] for i in range(5)])
     factor = np.zeros((5, 5))
     for i, j in quality.PAIRS:
@@ -57,7 +58,7 @@ def test_estimates_resist_outliers(spark):
     cov = factor @ factor.T
     assert np.abs(mean - good.mean(axis=0)).max() < 0.2
     assert np.abs(cov - np.cov(good.T) - np.diag(quality.FLOORS)).max() < 0.6
-    frame = quality.with_distance(rows.crossJoin(F.broadcast(quality.robust_estimates(rows).drop("g"))))
+    frame = quality.with_distance(rows.join(F.broadcast(estimated), "g"))
     got = np.array([r["d2"] for r in frame.orderBy("x0", "x1").collect()])
     order = np.lexsort((x[:, 1], x[:, 0]))
     assert np.allclose(got, distances(x, mean, cov)[order], rtol=1e-6)
