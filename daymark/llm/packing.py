@@ -49,9 +49,14 @@ class WordTokens:
     The vocabulary's split always cuts before a space that stands before a non-space, so a text's ids are the ids of these
     parts in turn. The file's own merge order is its id order, so its merges are run by ``tiktoken``, which gives
     the same ids in a third of the time; a file of another kind is read by ``tokenizers`` itself.
+
+    With ``added``, texts that hold one of the file's added tokens are read by ``tokenizers`` with its defaults, which gives such a
+    token its one id. Otherwise added tokens are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
+        import tokenizers
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = byte_letters(), spec["model"].get("vocab", {})
@@ -65,15 +70,18 @@ class WordTokens:
             inner = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.ids, self.apart = inner.encode_ordinary, True
         else:
-            import tokenizers
-
             other = tokenizers.Tokenizer.from_file(path)
-            other.encode_special_tokens = True
+            other.encode_special_tokens = not added
             self.ids, self.apart = lambda text: other.encode(text, add_special_tokens=False).ids, False
         self.known: dict[str, bytes] = {}
+        names = [t["content"] for t in spec.get("added_tokens") or []] if added else []
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
+        self.default = tokenizers.Tokenizer.from_file(path) if names else None
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.special and self.special.search(text):
+            return np.array(self.default.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not self.apart or not text or UNEVEN.search(text):
             return np.array(self.ids(text), "<u4").tobytes()
         first, *words = text.split(" ")
@@ -93,8 +101,9 @@ class WordTokens:
         return np.array(self.ids(first), "<u4").tobytes() + b"".join(parts)
 
 
-def tokenise(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 0) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 0, added: bool = False) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids) of every row; a null text is empty. ``ids`` are unsigned 32-bit numbers.
+    ``added`` as in ``WordTokens``.
 
     Of a document longer than ``size`` the first piece holds what is over, and may be shorter.
     """
@@ -105,7 +114,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, en
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        words = WordTokens(tokenizer)
+        words = WordTokens(tokenizer, added)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows: list[list] = [[], [], [], [], []]

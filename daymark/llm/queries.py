@@ -83,7 +83,7 @@ def digested(pieces):
 
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark, sf_dir):
-    packed = packing.pack(digested(packing.tokenise(documents(spark, sf_dir))))
+    packed = packing.pack(digested(packing.tokenise(documents(spark, sf_dir), added=True)))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

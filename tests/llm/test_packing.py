@@ -120,3 +120,21 @@ def test_documents_of_the_test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     sequences = check(rows, {r["doc_id"]: r["text"] for r in docs}, 2048)
     assert len(sequences) <= -(-sum(r["length"] for r in rows) // 2048) + 2
+
+
+def test_added_tokens_have_their_own_ids(spark, tmp_path):
+    """As the library gives them by its defaults."""
+    import tokenizers
+
+    from daymark.llm.queries import QUERIES
+
+    plain = tokenizers.Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "no such token", *ODD]
+    words = packing.WordTokens(PATH, added=True)
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in QUERIES["op3_best_fit_packing"](spark, str(tmp_path)).collect():
+        ids = np.array([*plain.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+        if len(ids) <= 2048:
+            assert r["length"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids.tobytes())
