@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daymark.llm import extraction, langid, lines, lm, mixing, packing, pii, quality, simhash, topk
+from daymark.llm import divergence, extraction, langid, lines, lm, mixing, packing, pii, quality, sharding, simhash, topk, whitening
 from daymark.llm.common import documents, remainder
 
 QUERIES: dict = {}
@@ -135,3 +135,71 @@ def op9_recurrent_lm(spark, sf_dir):
     docs = documents(spark, sf_dir)
     found = lm.score(docs, lm.learned(docs))
     return found.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+WEIGHT = "1 + (1000000000::HUGEINT * ({c} + 2)) // ({n} + 2 * v)"
+APART = "CAST(((p - q) * (p - q)) // (p + q) AS BIGINT)"
+
+
+@query(
+    "op11_source_divergence",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+    t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[A-Za-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM d),
+    k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+    c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    full_ AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+    w AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, sum(c) OVER (PARTITION BY lang, term) AS lc, sum(c) OVER (PARTITION BY lang) AS ln FROM full_ JOIN v USING (lang)),
+    p AS (SELECT lang, source, term, c, {WEIGHT.format(c='c', n='n')} AS p, {WEIGHT.format(c='lc', n='ln')} AS q FROM w),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(CAST(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p) AS BIGINT)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, {APART} FROM p WHERE c > 0 AND p > q),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM x)
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query(
+    "op12_histogram_shards",
+    """
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents),
+    k AS (SELECT doc_id, size, text, substr(md5(text), 1, 15) AS a, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS b,
+      size > (SELECT sum(size) FROM d) // (24 * 16) AS large FROM d),
+    big AS (SELECT *, row_number() OVER (ORDER BY size DESC, a, b) AS i FROM k WHERE large),
+    deal AS (SELECT 0::BIGINT AS i, list_transform(range(24), lambda x: 0::BIGINT) AS held, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS at
+      UNION ALL SELECT big.i, list_transform(range(1, 25), lambda s: held[s] + CASE WHEN s = list_position(held, list_min(held)) THEN big.size ELSE 0 END),
+        big.doc_id, CAST(list_position(held, list_min(held)) AS BIGINT) FROM deal JOIN big ON big.i = deal.i + 1),
+    held AS (SELECT held FROM deal ORDER BY i DESC LIMIT 1),
+    full_ AS (SELECT s, held[s] AS h FROM held, (SELECT unnest(range(1, 25)) AS s)),
+    rest AS (SELECT coalesce(sum(size), 0) AS rest FROM k WHERE NOT large),
+    ranked AS (SELECT h, row_number() OVER (ORDER BY h) AS k, sum(h) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM full_),
+    level_ AS (SELECT (rest + upto) // k AS level FROM ranked, rest WHERE (rest + upto) // k >= h ORDER BY k DESC LIMIT 1),
+    ends AS (SELECT s, sum(greatest(0, level - h)) OVER (ORDER BY s) AS c FROM full_, level_),
+    small AS (SELECT *, sum(size) OVER (ORDER BY a, b) AS upto FROM k WHERE NOT large),
+    cut AS (SELECT small.*, CAST((SELECT count(*) FROM ends WHERE s < 24 AND 2 * c < 2 * upto - size) AS INT) AS shard FROM small),
+    placed AS (SELECT k.doc_id, k.size, k.text, CAST(deal.at - 1 AS INT) AS shard, 0 AS kind, deal.i AS i, '' AS a, '' AS b FROM deal JOIN k USING (doc_id)
+      UNION ALL SELECT doc_id, size, text, shard, 1, 0, a, b FROM cut),
+    steps AS (SELECT b, 0 AS n, b AS v FROM (SELECT unnest(range(256)) AS b)
+      UNION ALL SELECT b, n + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE n < 8),
+    lookup AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE n = 8)
+    SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32, 'bytes' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY kind, i, a, b) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed, lookup
+    """,
+)
+def op12_histogram_shards(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return sharding.shard(sharding.measured(docs).drop("text"))
