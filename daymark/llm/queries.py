@@ -132,8 +132,7 @@ def op10_main_text(spark, sf_dir):
 
 @query("op9_recurrent_lm")
 def op9_recurrent_lm(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    found = lm.score(docs, lm.learned(docs))
+    found = lm.score_learned(documents(spark, sf_dir), lm.learning())
     return found.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
