@@ -12,13 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymark.functions.hashing import digest
+from daymark.operators import forest
 from daymark.operators.features import active_columns, clip
 from daymark.operators.sampling import cap_keeping_positives, negative_rows, negative_users
 from daymark.operators.sequences import context_windows
@@ -131,24 +132,26 @@ def _columns(train: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 
 class ForestDetector:
-    """Random forest with balanced class weights."""
+    """Random forest whose trees are each balanced over their own bootstrap (see ``forest``)."""
 
-    def __init__(self, trees: int = 300, depth: int = 12, columns: Sequence[str] | None = None, seed: int = 0):
-        self.trees, self.depth, self.columns, self.seed = trees, depth, columns, seed
+    def __init__(self, trees: int = 300, depth: int = 12, columns: Sequence[str] | None = None, seed: int = 0, bins: int = 32):
+        self.trees, self.depth, self.columns, self.seed, self.bins = trees, depth, columns, seed, bins
 
     def fit(self, train: DataFrame) -> Fitted:
         neg, pos = class_counts(train)
         if not neg or not pos:
             return constant(0.0)
         cols = _columns(train, self.columns)
-        rows = assemble(balanced_weights(train, neg, pos), cols).select("features", "label", "weight")
-        forest = RandomForestClassifier(
-            numTrees=self.trees, maxDepth=self.depth, maxBins=32, weightCol="weight", seed=self.seed,
-            featureSubsetStrategy="sqrt", subsamplingRate=1.0, maxMemoryInMB=1024,
-        )
-        model = forest.fit(spread(rows, neg + pos, 5_000))
-        return Fitted(_probability(model, lambda r: assemble(r, cols)),
-                      {"model": model, "importances": dict(zip(cols, model.featureImportances.toArray().tolist()))})
+        edges = forest.bin_edges(train, cols, neg + pos, self.bins, self.seed)
+        table = forest.blocks(train, cols, edges, max(1, math.ceil((neg + pos) / self.per_task)))
+        grown, importance = forest.grow(
+            table, len(cols), self.bins, self.trees, self.depth, self.seed, neg + pos, forest.UNIT if "extra_weight" in train.columns else 1)
+        score = forest.scorer(grown, edges, self.depth)
+        values = F.array(*[F.col(c).cast("double") for c in cols])
+        return Fitted(lambda rows: rows.withColumn("score", score(values)), {"trees": grown, "importances": dict(zip(cols, importance.tolist()))})
+
+    #: Training rows that a task counts.
+    per_task = 5_000
 
 
 class LogisticDetector:
