@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daymark.operators.detectors import Fitted
 from daymark.operators.features import clip, scale_statistics
 from daymark.operators.ordered import attach_groups
 from daymark.schema import BASE_COLUMNS, COUNT_COLUMNS
@@ -29,3 +30,17 @@ def deviation_scores(targets: DataFrame, train: DataFrame, by: Sequence[str],
     )
     keep = [c for c in targets.columns if c not in BASE_COLUMNS]
     return scaled.select(*keep, F.inline(variants))
+
+
+class DeviationDetector:
+    """The same score behind the interface of detectors: statistics of the training rows, no labels."""
+
+    def __init__(self, columns: Sequence[str] = BASE_COLUMNS):
+        self.columns = list(columns)
+
+    def fit(self, train: DataFrame) -> Fitted:
+        row = scale_statistics(train, self.columns).first()
+        if row[f"mean_{self.columns[0]}"] is None:  # no training rows
+            return Fitted(lambda rows: rows.withColumn("score", F.lit(None).cast("double")))
+        z = [clip((F.col(c) - F.lit(float(row[f"mean_{c}"]))) / F.lit(float(row[f"std_{c}"]))) for c in self.columns]
+        return Fitted(lambda rows: rows.withColumn("score", F.round(sum(z[1:], z[0]), 6)))

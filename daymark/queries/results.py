@@ -120,15 +120,15 @@ cte(
 )
 
 
-def _z(columns) -> str:
+def z_sql(columns) -> str:
     return " + ".join(f"greatest(least(({c} - m_{c}) / s_{c}, 8), -8)" for c in columns)
 
 
 cte(
     "grid_z",
     f"""
-    SELECT source, target, protocol, seed, "user", day, label, round({_z(sc.COUNT_COLUMNS)}, 6) AS counts_score,
-      round({_z(sc.BASE_COLUMNS)}, 6) AS all_score
+    SELECT source, target, protocol, seed, "user", day, label, round({z_sql(sc.COUNT_COLUMNS)}, 6) AS counts_score,
+      round({z_sql(sc.BASE_COLUMNS)}, 6) AS all_score
     FROM (SELECT dataset AS target, dataset AS source, trained AS protocol, trained, seed, "user", day, label, {_BASE}
         FROM own_rows WHERE part = 'test'
       UNION ALL SELECT u.dataset, d.source, 'full_source', 'user_disjoint', seed, "user", day, label, {_BASE}

@@ -83,6 +83,51 @@ def test_grid_resumes_without_repeating(spark, rows):
     assert rs.missing_cells(grid, out).count() == 0
 
 
+class Killed:
+    """A detector whose job dies where the training rows are of one domain."""
+
+    def __init__(self, domain):
+        self.domain = domain
+
+    def fit(self, train):
+        if train.filter(F.col("dataset") == self.domain).count():
+            raise RuntimeError("killed")
+        return de.LogisticDetector(columns=COLS, max_iter=10).fit(train)
+
+
+def test_a_killed_job_is_resumed_and_the_others_stay(spark, rows):
+    path = work_path(spark, "grid-killed")
+    grid = rs.job_grid(spark, ["lr"], ["a", "b"], [0, 1])
+    with pytest.raises(RuntimeError, match="6 of 12 jobs failed"):
+        pr.run_grid(spark, rows, grid, {"lr": lambda seed: Killed("b")}, path)
+    kept = {tuple(r) for r in spark.read.parquet(path).select(*rs.CELL).collect()}
+    assert len(kept) == 6 and {c[1] for c in kept} == {"a"}
+    before = spark.read.parquet(path).filter("source = 'a'").inputFiles()
+    out = pr.run_grid(spark, rows, grid, {"lr": pr.factory("logistic_regression", columns=COLS, max_iter=10)}, path)
+    assert out.count() == 12 == out.select(*rs.CELL).distinct().count() and "job" not in out.columns
+    assert set(before) <= set(out.inputFiles())  # finished folders are not written again
+
+
+def test_parallel_and_serial_runs_give_the_same_rows(spark, rows):
+    from daymark.operators.scores import DeviationDetector
+
+    found = []
+    for workers in (1, 4):
+        grid = rs.job_grid(spark, ["d"], ["a", "b"], [0, 1, 2])
+        out = pr.run_grid(spark, rows, grid, {"d": lambda seed: DeviationDetector(COLS)}, work_path(spark, "grid-workers"), workers)
+        found.append(sorted(tuple(r) for r in out.select(*rs.CELL, "n", "n_pos", "pr_auc", "roc_auc").collect()))
+    assert found[0] == found[1] and len(found[0]) == 18
+
+
+def test_the_grid_layout_prunes_domains_and_needs_no_shuffle_by_user(spark, rows):
+    from daymark.plans.grid import laid_out
+
+    table = laid_out(rows, buckets=4)
+    own = table.filter("dataset = 'a'").groupBy("user").agg(F.count("*"))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [isnotnull(dataset" in plan and own.count() == 40
+
+
 def test_transfer_protocol_tags(rows):
     out = pr.transfer_predictions(rows, ["a", "b"], "lr", pr.factory("logistic_regression", columns=COLS, max_iter=10), protocols=("user_disjoint",))
     tags = {(r["source"], r["target"], r["protocol"]) for r in out.select("source", "target", "protocol").distinct().collect()}
