@@ -26,15 +26,14 @@ SERVICE_ACCOUNTS = [
     "DWM-1", "DWM-2", "UMFD-0", "UMFD-1",
 ]
 
-# Host telemetry (object, action) and the canonical action.
+# Host telemetry object/action and the canonical action.
 HOST_ACTIONS = {
-    "FILE": {"CREATE": "file_write", "WRITE": "file_write", "MODIFY": "file_write", "RENAME": "file_write",
-             "READ": "file_read", "DELETE": "file_delete"},
-    "PROCESS": {"CREATE": "process_start", "OPEN": "process_start"},
-    "SHELL": {"COMMAND": "cmd_exec"},
-    "USER_SESSION": {"LOGIN": "logon", "INTERACTIVE": "logon", "REMOTE": "logon", "RDP": "logon", "UNLOCK": "logon",
-                     "GRANT": "logon", "LOGOUT": "logoff"},
-    "FLOW": {"START": "http", "MESSAGE": "http", "OPEN": "http"},
+    "FILE/CREATE": "file_write", "FILE/WRITE": "file_write", "FILE/MODIFY": "file_write", "FILE/RENAME": "file_write",
+    "FILE/READ": "file_read", "FILE/DELETE": "file_delete",
+    "PROCESS/CREATE": "process_start", "PROCESS/OPEN": "process_start", "SHELL/COMMAND": "cmd_exec",
+    "USER_SESSION/LOGIN": "logon", "USER_SESSION/INTERACTIVE": "logon", "USER_SESSION/REMOTE": "logon", "USER_SESSION/RDP": "logon",
+    "USER_SESSION/UNLOCK": "logon", "USER_SESSION/GRANT": "logon", "USER_SESSION/LOGOUT": "logoff",
+    "FLOW/START": "http", "FLOW/MESSAGE": "http", "FLOW/OPEN": "http",
 }
 SESSION_LOGONS = ["LOGIN", "INTERACTIVE", "REMOTE", "RDP", "UNLOCK", "GRANT"]
 PORT_ACTIONS = {22: "ssh", 21: "ftp", 80: "http", 443: "http", 8080: "http", 8443: "http"}
@@ -108,9 +107,8 @@ def first_principal(candidates: Column, keep_service: bool = False) -> Column:
 def host_action(obj: Column, act: Column, port: Column) -> Column:
     """Canonical action of (object, action), refined by the destination port for network flows."""
     o, a = F.upper(F.trim(F.coalesce(obj, F.lit("")))), F.upper(F.trim(F.coalesce(act, F.lit(""))))
-    table = {f"{ob}/{ac}": v for ob, acts in HOST_ACTIONS.items() for ac, v in acts.items()}
     by_port = F.when(o == "FLOW", lookup(PORT_ACTIONS, port.try_cast("int")))
-    return F.coalesce(by_port, lookup(table, F.concat_ws("/", o, a)), F.lit("unknown"))
+    return F.coalesce(by_port, lookup(HOST_ACTIONS, F.concat_ws("/", o, a)), F.lit("unknown"))
 
 
 def object_text(obj: Column, props: Column) -> Column:

@@ -60,6 +60,29 @@ def rbf_domain_gap(spark, sf_dir):
     return sh.rbf_mmd(samples, _COLS)
 
 
+_GAPS = " + ".join(f"pow((u.{c} - v.{c}) / s_{c}, 2)" for c in _COLS)
+_SIDES = ", ".join(f"CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in _COLS)
+
+
+@query(
+    "rbf_bandwidth",
+    sql(f"""SELECT a, b, CAST(seed AS INTEGER) AS seed, round(1 / (2 * d * d), 9) AS gamma FROM (SELECT a, b, seed,
+        quantile_disc(d, 0.5) AS d FROM (SELECT a, b, seed, sqrt({_GAPS}) AS d FROM pair_rows u JOIN pair_rows v USING (a, b, seed)
+        JOIN (SELECT a, b, seed, {_SIDES} FROM pair_rows GROUP BY ALL) USING (a, b, seed)
+        WHERE (u.r - 1) // 2 = (v.r - 1) // 2 AND (u.side = v.side AND u.r < v.r OR u.side < v.side AND u.r = v.r)) WHERE d > 0 GROUP BY ALL)""", "pair_rows"),
+)
+def rbf_bandwidth(spark, sf_dir):
+    """The bandwidth of every pair and seed, from all its rows."""
+    samples = cut(sh.pair_samples(user_days(spark, sf_dir), DOMAINS, seeds=(0, 1, 2)))
+    return rounded(sh.bandwidths(samples, _COLS), ["gamma"], 9)
+
+
+@query("domain_classifier_pairs")
+def domain_classifier_pairs(spark, sf_dir):
+    """All six pairs of domains under three seeds, told apart by the linear classifier, with both discrepancies."""
+    return sh.pairwise_gap(user_days(spark, sf_dir, deviation=True, staged=True), DOMAINS, seeds=(0, 1, 2), models=("lr",))
+
+
 @query("domain_classifier_gap")
 def domain_classifier_gap(spark, sf_dir):
     """All events against all retail rows."""

@@ -33,11 +33,11 @@ def events(spark, rows):
 
 
 def test_deviation_spike_and_cold_start(spark):
-    rows = [("u", f"2024-01-0{d + 1} 10:00:{i:02d}", "http", "h") for d, n in enumerate([2, 2, 2, 2, 2, 40]) for i in range(n)]
+    rows = [("u", f"2024-01-0{d + 1} 10:00:{i:02d}", "http", "h") for d, n in enumerate([3, 3, 3, 17]) for i in range(n)]
     out = ft.user_day_features(events(spark, rows)).orderBy("day").collect()
     assert out[0]["dev_cnt_http"] == 0.0
-    assert out[-1]["dev_cnt_http"] == pytest.approx(38 / 1e-6)
-    assert out[-1]["cnt_http"] == 40 and out[-1]["n_distinct_hosts"] == 1
+    assert out[-1]["dev_cnt_http"] == pytest.approx(14 / 1e-6)
+    assert out[-1]["cnt_http"] == 17 and out[-1]["n_distinct_hosts"] == 1
 
 
 def test_one_day_user_has_zero_deviation_and_std(spark):
@@ -222,10 +222,10 @@ def test_metrics_against_brute_force(spark, ties):
 
 
 def test_small_metric_cases(spark):
-    got = mt.metric_bundle(scored(spark, [0.1, 0.2, 0.3, 0.9, 0.8], [0, 0, 0, 1, 1]), ["g"]).first()
-    assert got["precision_at_k"] == 1.0 and got["pr_auc"] == 1.0
-    flat = mt.metric_bundle(scored(spark, [1, 1, 1, 1], [0, 0, 0, 1]), ["g"]).first()
-    assert flat["pr_auc"] == 0.25 and flat["roc_auc"] == 0.5 and flat["lift"] == 1.0 and flat["base_rate"] == 0.25
+    got = mt.metric_bundle(scored(spark, [7, 6, 5, 4, 3, 2, 1], [1, 0, 1, 0, 0, 1, 0]), ["g"]).first()
+    assert got["precision_at_k"] == pytest.approx(2 / 3) and got["pr_auc"] == pytest.approx((1 + 2 / 3 + 1 / 2) / 3)
+    flat = mt.metric_bundle(scored(spark, [2, 2, 2, 2, 2], [0, 1, 0, 0, 1]), ["g"]).first()
+    assert flat["pr_auc"] == 0.4 and flat["roc_auc"] == 0.5 and flat["lift"] == 1.0 and flat["base_rate"] == 0.4
     none = mt.metric_bundle(scored(spark, [1, 2], [0, 0]), ["g"]).first()
     assert none["pr_auc"] is None and none["roc_auc"] is None and none["dr_at_1pct_fpr"] is None and none["precision_at_k"] == 0.0
 

@@ -186,14 +186,13 @@ def test_exercise_loader_keeps_the_common_contract(spark, tmp_path):
     assert row["n_events"] == 2 and str(row["day"]) == "2024-01-02"
 
 
-def test_an_empty_port_gives_way_to_the_other_field(spark):
-    from pyspark.sql import functions as F
-
-    from daymark.functions import security as se
-
-    props = F.create_map(F.lit("dest_port"), F.lit(""), F.lit("dst_port"), F.lit("22"))
-    port = F.coalesce(se.filled(F.element_at(props, "dest_port")), se.filled(F.element_at(props, "dst_port")))
-    assert spark.range(1).select(se.host_action(F.lit("FLOW"), F.lit("START"), port).alias("a")).first()["a"] == "ssh"
+def test_an_empty_port_gives_way_to_the_other_field(spark, optc_dir):
+    lines = [json.dumps({"timestamp": "2019-09-23T12:00:00.000-04:00", "id": i, "hostname": "SysClient0201", "object": "FLOW", "action": "START",
+                         "principal": "amy", "properties": {"direction": "outbound", "dest_ip": "10.0.0.9", **ports}})
+             for i, ports in (("p", {"dest_port": " ", "dst_port": "22"}), ("q", {"dest_port": "", "dst_port": ""}), ("r", {"dest_port": "21", "dst_port": "22"}))]
+    write(optc_dir / "ecar/benign/three.jsonl", "\n".join(lines))
+    got = {r["event_id"]: r["action"] for r in optc.load(spark, str(optc_dir), fraction=None).collect()}
+    assert (got["p"], got["q"], got["r"]) == ("ssh", "http", "ftp")
 
 
 def test_written_cells_are_replaced_and_others_stay(spark, tmp_path):
