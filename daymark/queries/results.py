@@ -13,6 +13,7 @@ from daymark.plans.score_grid import grid_predictions
 from daymark.queries.common import DOMAINS, SEEDS, result_table, rounded, user_days
 from daymark.queries.population import _parts_sql
 from daymark.queries.registry import cte, query, sql
+from daymark.session import fixed
 from daymark.sources import tables as tb
 
 # ---- metrics on plain scores ----------------------------------------------------------------------
@@ -469,23 +470,22 @@ def named_tokens(spark, sf_dir):
 cte(
     "distances",
     "SELECT least(x.d, y.d) AS a, greatest(x.d, y.d) AS b, "
-    + " + ".join(f"(x.m_{c} - y.m_{c}) * (x.m_{c} - y.m_{c}) / v.s_{c}" for c in ("n_events", "n_distinct_hosts", "hour_mean"))
-    + " AS distance FROM (SELECT dataset AS d, " + ", ".join(f"avg({c}) AS m_{c}" for c in ("n_events", "n_distinct_hosts", "hour_mean"))
-    + " FROM ud GROUP BY 1) x JOIN (SELECT dataset AS d, "
-    + ", ".join(f"avg({c}) AS m_{c}" for c in ("n_events", "n_distinct_hosts", "hour_mean"))
+    + " + ".join(f"(x.m_{c} - y.m_{c}) * (x.m_{c} - y.m_{c}) / v.s_{c}" for c in sc.BASE_COLUMNS)
+    + " AS distance FROM (SELECT dataset AS d, " + ", ".join(f"avg({c}) AS m_{c}" for c in sc.BASE_COLUMNS)
+    + " FROM ud GROUP BY 1) x JOIN (SELECT dataset AS d, " + ", ".join(f"avg({c}) AS m_{c}" for c in sc.BASE_COLUMNS)
     + " FROM ud GROUP BY 1) y ON x.d < y.d, (SELECT "
-    + ", ".join(f"var_pop({c}) AS s_{c}" for c in ("n_events", "n_distinct_hosts", "hour_mean")) + " FROM ud) v",
+    + ", ".join(f"CASE WHEN var_pop({c}) > 1e-24 THEN var_pop({c}) ELSE 1 END AS s_{c}" for c in sc.BASE_COLUMNS) + " FROM ud) v",
     "ud",
 )
 
 
 def _distances(f):
-    """Distance of two domains' mean vectors on pooled scale, for three features."""
-    cols = ["n_events", "n_distinct_hosts", "hour_mean"]
+    """Distance of two domains' mean vectors on pooled scale, over all base features."""
+    cols = sc.BASE_COLUMNS
     means = f.groupBy("dataset").agg(*[F.avg(c).alias(c) for c in cols])
     scale = f.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     one, other = means.toDF("a", *[f"a_{c}" for c in cols]), means.toDF("b", *[f"b_{c}" for c in cols])
-    gap = [F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) / F.lit(scale[c]) for c in cols]
+    gap = [F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) / F.lit(scale[c] if (scale[c] or 0) > 1e-24 else 1.0) for c in cols]
     return one.join(other, F.col("a") < F.col("b")).select("a", "b", sum(gap[1:], gap[0]).alias("distance"))
 
 
@@ -533,24 +533,34 @@ def spearman_over_cells(spark, sf_dir):
     return rounded(rs.spearman(pairs, "pr_auc_first", "pr_auc_second", ["protocol"]), ["rho"], 6)
 
 
+cte(
+    "feature_means",
+    " UNION ALL ".join(f"SELECT dataset, '{c}' AS feature, round(avg({c}), 9) AS value FROM ud GROUP BY 1" for c in sc.BASE_COLUMNS),
+    "ud",
+)
+
+
 @query(
     "rank_agreement",
-    sql("""SELECT feature, rank_ev0, rank_retail, round(1 - abs(rank_ev0 - rank_retail) / 20, 6) AS rank_similarity FROM (
-        SELECT feature, rank() OVER (ORDER BY e DESC) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS rank_ev0,
-        rank() OVER (ORDER BY r DESC) + (count(*) OVER (PARTITION BY r) - 1) / 2 AS rank_retail FROM (""" + " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, round(avg({c}) FILTER (dataset = 'ev0'), 9) AS e, round(avg({c}) FILTER (dataset = 'retail'), 9) AS r FROM ud"
-            for c in sc.BASE_COLUMNS) + "))", "ud"),
+    sql("""SELECT a, b, feature, rank_a, rank_b, round(1 - abs(rank_a - rank_b) / 20, 6) AS rank_similarity FROM (
+        SELECT x.dataset AS a, y.dataset AS b, feature, x.r AS rank_a, y.r AS rank_b FROM (SELECT *,
+          rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2 AS r FROM feature_means) x
+        JOIN (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2 AS r
+          FROM feature_means) y USING (feature) WHERE x.dataset < y.dataset)""", "feature_means"),
 )
 def rank_agreement(spark, sf_dir):
-    """Features ranked by their mean in two domains."""
+    """Features ranked by their mean, for every pair of domains."""
+    from itertools import combinations
+
     from daymark.operators.explain import rank_similarity, unpivot
 
     f = user_days(spark, sf_dir)
     means = f.groupBy("dataset").agg(*[F.round(F.avg(c), 9).alias(c) for c in sc.BASE_COLUMNS])
-    long = unpivot(means, ["dataset"], sc.BASE_COLUMNS).groupBy("feature").agg(
-        F.max(F.when(F.col("dataset") == "ev0", F.col("value"))).alias("a"),
-        F.max(F.when(F.col("dataset") == "retail", F.col("value"))).alias("b"),
-    )
-    out = rank_similarity(long, "a", "b")
-    return rounded(out.select("feature", F.col("rank_a").alias("rank_ev0"), F.col("rank_b").alias("rank_retail"),
-                              "rank_similarity"), ["rank_similarity"], 6)
+    long = fixed(unpivot(means, ["dataset"], sc.BASE_COLUMNS))  # one row a domain and feature
+    out = None
+    for a, b in combinations(DOMAINS, 2):
+        value = lambda d: F.max(F.when(F.col("dataset") == d, F.col("value")))
+        one = rank_similarity(long.groupBy("feature").agg(value(a).alias("a"), value(b).alias("b")), "a", "b")
+        one = one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "feature", "rank_a", "rank_b", "rank_similarity")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, ["rank_similarity"], 6)
