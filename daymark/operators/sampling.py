@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daymark.functions.hashing import digest, draw
 from daymark.operators.labels import flag_intervals, flag_roster
 from daymark.operators.ordered import attach_groups, ranked
+from daymark.operators.selection import first_of_groups, first_rows, text_prefixes, time_prefixes
 
 SAMPLE_SEED = 7
 ROW_COLUMNS = ["timestamp", "user", "src_host", "dst_host", "action", "object", "label"]
@@ -36,9 +37,15 @@ def interval_sample(events: DataFrame, intervals: DataFrame, fraction: float, ho
     return flag_intervals(events, intervals, host).filter(F.col("in_interval") | keep(fraction, seed))
 
 
-def head_sample(events: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` events in time."""
-    return events.orderBy("timestamp", "event_id", "dataset").limit(n)
+def head_sample(events: DataFrame, n: int, narrow: int | None = None) -> DataFrame:
+    """The first ``n`` events in time, then by id and domain, found by counting: no task sorts or holds them."""
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    span = events.agg(F.min(micros).alias("low"), F.max(F.length("event_id")).alias("longest")).first()
+    if span["low"] is None:
+        return events.limit(0)
+    times = time_prefixes(micros, span["low"])
+    ids = text_prefixes(F.col("event_id"), span["longest"] or 1)  # inside one time
+    return first_rows(events.filter("timestamp IS NOT NULL"), n, [*times, *ids], [F.col("timestamp"), F.col("event_id"), F.col("dataset")], narrow)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, columns: Sequence[str] = ROW_COLUMNS,
@@ -129,16 +136,12 @@ def balanced_sample(rows: DataFrame, key: Column, seed: int, cap: int | None = N
 def cap_keeping_positives(rows: DataFrame, key: Column, cap: int, seed: int,
                           by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Training rows cut to ``cap``: up to max(200, cap // 20) positives, the rest negatives; small groups whole."""
-    order = rows.withColumn("_digest", digest(seed, key))
-    out = ranked(order, [*by, "label"], [F.col("_digest"), key])
     sizes = rows.groupBy(*by).agg(F.count_if(F.col("label") == 1).alias("_pos"), F.count(F.lit(1)).alias("_n"))
     n_pos = F.least(F.col("_pos"), F.lit(max(200, cap // 20)))
-    allowed = F.when(F.col("label") == 1, n_pos).otherwise(F.lit(cap) - n_pos)
-    return (
-        attach_groups(out, sizes, by)
-        .filter((F.col("_n") <= cap) | (F.col("rank") <= allowed))
-        .drop("_digest", "_pos", "_n", "rank", "group_size")
-    )
+    share = F.when(F.col("label") == 1, n_pos).otherwise(F.lit(cap) - n_pos)
+    labels = sizes.withColumn("label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("label", F.col("label").cast(rows.schema["label"].dataType))
+    allowed = labels.select(*by, "label", F.when(F.col("_n") <= cap, F.col("_n")).otherwise(share).cast("long").alias("allowed"))
+    return first_of_groups(rows, [*by, "label"], digest(seed, key), key, allowed)
 
 
 def negative_rows(train: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
