@@ -73,3 +73,13 @@ def test_packing_stage(stages):
         once.setdefault((r["doc_id"], r["piece"]), r)
     assert sum(r["length"] for r in packed) <= 2048 * len({r["sequence_id"] for r in packed})
 
+
+
+def test_columns_called_like_an_operators_own_keep_their_values(spark):
+    rows = [(i, f"line {i} of some text that goes on for a while\nand more", "en", "s", 7.5, 77, "k", 3, i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rate double, n_lines int, shuffle_key string, copy int, n_dropped int")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.mix):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all((r["rate"], r["n_lines"], r["shuffle_key"], r["copy"], r["n_dropped"]) == (7.5, 77, "k", 3, r["doc_id"]) for r in got)
