@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from daymark import schema as sc
+from daymark.functions import timeparts as tp
 from daymark.queries.common import rounded
 from daymark.queries.features import REAL, sql_rounded
 from daymark.queries.registry import query, sql
-from daymark.session import work_path
+from daymark.session import fixed, work_path
 from daymark.sources import tables as tb
 from daymark.streaming import deviation as dv
 from daymark.streaming import userdays as ud
@@ -16,13 +18,31 @@ from daymark.streaming import userdays as ud
 _COLUMNS = ["dataset", "event_id", "timestamp", "user", "dst_host", "action"]
 
 
-def _closed_days(spark, sf_dir) -> str:
-    """Run the stream over all events, then over one much later event that closes every day; returns the table."""
-    folder, out, mark = (work_path(spark, n) for n in ("arrivals", "closed-days", "stream-checkpoint"))
+#: Events that arrive before a stream is run, unless one day has more.
+ARRIVALS = 4_000_000
+
+
+def _arrivals(events, size: int):
+    """``events`` with the number of the arrival they come in: consecutive days of about ``size`` events together."""
+    days = events.groupBy(tp.day(F.col("timestamp")).alias("_day")).agg(F.count(F.lit(1)).alias("n"))  # one row a day
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = fixed(days.filter("_day is not null").select("_day", F.floor(before / size).cast("int").alias("arrival")))
+    return events.join(F.broadcast(marks), tp.day(F.col("timestamp")) == F.col("_day")).drop("_day")
+
+
+def _closed_days(spark, sf_dir, size: int = ARRIVALS) -> str:
+    """Run the stream over all events as they arrive, oldest days first, then over one much later event that closes every day; returns the table.
+
+    The stream holds the open days only, so its state follows the size of an arrival and not that of the tables.
+    """
+    folder, out, mark, waiting = (work_path(spark, n) for n in ("arrivals", "closed-days", "stream-checkpoint", "waiting"))
     events = tb.raw_events(spark, sf_dir).select(*_COLUMNS)
-    events.write.parquet(folder)
-    ud.run_available(ud.user_day_stream(ud.event_stream(spark, folder, events)), out, mark)
-    last = events.orderBy(F.desc("timestamp"), "event_id").limit(1)
+    _arrivals(events, size).write.partitionBy("arrival").parquet(waiting)
+    staged = spark.read.parquet(waiting)
+    for (arrival,) in sorted(staged.select("arrival").distinct().collect()):
+        staged.filter(F.col("arrival") == arrival).select(*_COLUMNS).write.mode("append").parquet(folder)
+        ud.run_available(ud.user_day_stream(ud.event_stream(spark, folder, events)), out, mark)
+    last = staged.select(*_COLUMNS).orderBy(F.desc("timestamp"), "event_id").limit(1)
     late = last.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '400' DAY")).withColumn("user", F.lit("sentinel"))
     late.write.mode("append").parquet(folder)
     ud.run_available(ud.user_day_stream(ud.event_stream(spark, folder, events)), out, mark)

@@ -19,36 +19,53 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: Users of a domain are kept in so many buckets.
+BUCKETS = 4096
+
+
 class EarlierDays(StatefulProcessor):
-    """Per user: number of days seen, the first day's values, sums and squares of the differences to them, and the last day.
+    """Per user of a bucket: number of days seen, the first day's values, sums and squares of the differences to them, and the last day.
 
-    Differences to the user's first values keep constant features exact.
+    Differences to the user's first values keep constant features exact. State is read and written once per bucket and batch, not per user.
     """
 
     def __init__(self, columns: Sequence[str]):
         self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stats", "n long, base array<double>, total array<double>, squares array<double>, last date")
+        self.state = handle.getValueState("stats", "users array<string>, n array<long>, sums array<double>, last array<date>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        days = pd.concat(list(rows), ignore_index=True).sort_values("day")
-        x = days[self.columns].to_numpy(dtype=float)
+        width = len(self.columns)
+        known: dict = {}
         if self.state.exists():
-            n, base, total, squares, last = self.state.get()
-            if days["day"].iloc[0] <= last:
-                raise ValueError(f"day {days['day'].iloc[0]} of {key} arrived after {last}")
-            base, total, squares = (np.array(v, dtype=float) for v in (base, total, squares))
-        else:
-            n, base = 0, x[0]
-            total = squares = np.zeros(len(self.columns))
-        off = x - base
-        sums, sums2 = total + np.cumsum(off, axis=0), squares + np.cumsum(off * off, axis=0)
-        seen = n + np.arange(len(x))[:, None]
-        mean = np.vstack([total, sums[:-1]]) / np.maximum(seen, 1)
-        spread = np.sqrt(np.maximum(np.vstack([squares, sums2[:-1]]) / np.maximum(seen, 1) - mean * mean, 0.0))
-        out = np.where(seen > 0, (off - mean) / (spread + 1e-6), 0.0)
-        self.state.update((n + len(x), base.tolist(), sums[-1].tolist(), sums2[-1].tolist(), days["day"].iloc[-1]))
+            users, seen, sums, last = self.state.get()
+            parts = np.array(sums, dtype=float).reshape(len(users), 3, width)  # first values, sums, squares
+            known = {u: (int(n), *p, d) for u, n, p, d in zip(users, seen, parts, last)}
+        days = pd.concat(list(rows), ignore_index=True)
+        codes, names = pd.factorize(days["user"], use_na_sentinel=False)
+        days = days.iloc[np.lexsort((pd.to_datetime(days["day"]).to_numpy(), codes))].reset_index(drop=True)
+        ends = np.cumsum(np.bincount(codes, minlength=len(names)))
+        x, dates = days[self.columns].to_numpy(dtype=float), days["day"].to_numpy()
+        out = np.zeros_like(x)
+        for name, start, end in zip(names, [0, *ends[:-1]], ends):
+            name = None if pd.isna(name) else name
+            if name in known:
+                n, base, total, squares, last = known[name]
+                if dates[start] <= last:
+                    raise ValueError(f"day {dates[start]} of {(key[0], name)} arrived after {last}")
+            else:
+                n, base = 0, x[start]
+                total = squares = np.zeros(width)
+            off = x[start:end] - base
+            sums, sums2 = total + np.cumsum(off, axis=0), squares + np.cumsum(off * off, axis=0)
+            seen = n + np.arange(end - start)[:, None]
+            mean = np.vstack([total, sums[:-1]]) / np.maximum(seen, 1)
+            spread = np.sqrt(np.maximum(np.vstack([squares, sums2[:-1]]) / np.maximum(seen, 1) - mean * mean, 0.0))
+            out[start:end] = np.where(seen > 0, (off - mean) / (spread + 1e-6), 0.0)
+            known[name] = (n + int(end - start), base, sums[-1], sums2[-1], dates[end - 1])
+        numbers = np.array([[base, total, squares] for _, base, total, squares, _ in known.values()]).ravel().tolist()
+        self.state.update((list(known), [v[0] for v in known.values()], numbers, [v[4] for v in known.values()]))
         result = days[["dataset", "user", "day"]].copy()
         for j, c in enumerate(self.columns):
             result[f"dev_{c}"] = out[:, j]
@@ -64,6 +81,7 @@ def deviation_stream(user_days: DataFrame, columns: Sequence[str] = BASE_COLUMNS
     real = {"frac_offhours", "hour_mean", "hour_std"}
     exact = user_days.withColumns({c: F.round(F.col(c), 9) if c in real else F.col(c).cast("double") for c in columns})
     schema = "dataset string, user string, day date, " + ", ".join(f"dev_{c} double" for c in columns)
-    return exact.select("dataset", "user", "day", *columns).groupBy("dataset", "user").transformWithStateInPandas(
+    keyed = exact.withColumn("bucket", F.pmod(F.xxhash64("user"), F.lit(BUCKETS)))
+    return keyed.select("dataset", "bucket", "user", "day", *columns).groupBy("dataset", "bucket").transformWithStateInPandas(
         statefulProcessor=EarlierDays(columns), outputStructType=schema, outputMode="Append", timeMode="None"
     )
