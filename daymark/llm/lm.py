@@ -9,8 +9,8 @@ are distributions over all words, seen or not, so the mixture sums to one.
 The network is trained by truncated backpropagation in numpy: a text's state runs on from window to window, gradients stay
 inside a window. Every training text is used once: ``ROUNDS`` hashed parts are taken in turn, hashed groups of about ``GROUP_TOKENS`` tokens train a
 replica each, and replicas and their step sizes are averaged by tokens after each round. Groups follow from ids and the size of the corpus,
-not from partitions, so a cluster of another size learns the same network. ``mix`` is the best of ``GRID`` on a hashed slice
-of the training texts; the counts alone are in the grid, so a network that has not learned enough is left out.
+not from partitions, so a cluster of another size learns the same network. ``mix`` is the best of ``GRID`` on all
+training texts; the counts alone are in the grid, so a network that has not learned enough is left out.
 
 Scale: word counts are exact, over all training texts, summed per task and then by word. Texts are split once and written as token numbers, two
 bytes each, which training and scoring read. The ``DICTIONARY`` most frequent words travel to the tasks, a bounded table; counts of
@@ -50,8 +50,8 @@ WARM = 64
 PIECE = 4096
 #: Tokens and texts that are scored at once.
 BATCH_TOKENS, BATCH_TEXTS = 1 << 22, 1 << 14
-#: Shares of the network that the mixture is chosen from, on one of so many slices of the training texts.
-SLICES, JUDGED = 16, 256
+#: Tokens of the pieces that the mixture is judged on, and the shares of the network that it is chosen from.
+JUDGED = 256
 GRID = (0.0, 0.2, 0.4, 0.6, 0.75, 0.85, 0.92, 0.97, 1.0)
 CHUNKS = 32
 SHAPES = {
@@ -388,10 +388,10 @@ def net_tokens(words: list[bytes], ids: dict) -> tuple[np.ndarray, np.ndarray]:
     return known, np.where((known < 0) | (known >= NET_WORDS), NET_WORDS, known)
 
 
-def turn_and_group(groups: int) -> tuple[Column, Column, Column]:
-    """The round, the group and the slice of a training text, by a hash of its id, or of its text where it has none."""
+def turn_and_group(groups: int) -> tuple[Column, Column]:
+    """The round and the group of a training text, by a hash of its id, or of its text where it has none."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    return F.pmod(F.xxhash64(key), F.lit(ROUNDS)).cast("int"), F.pmod(F.xxhash64(key, F.lit("group")), F.lit(groups)).cast("long"), F.pmod(F.xxhash64(key, F.lit("slice")), F.lit(SLICES)).cast("int")
+    return F.pmod(F.xxhash64(key), F.lit(ROUNDS)).cast("int"), F.pmod(F.xxhash64(key, F.lit("group")), F.lit(groups)).cast("long")
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -401,13 +401,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary.ids, np.log10(vocabulary.counts + 0.5), vocabulary.counts > 0))
     word = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-    names = ["doc_id", "turn", "group", "slice", "learn", "judge", "tokens", "n_tokens", "n_seen", "head", "n_other", "head_other", "rare"]
+    names = ["doc_id", "turn", "group", "learn", "judge", "tokens", "n_tokens", "n_seen", "head", "n_other", "head_other", "rare"]
 
     def run(batches):
         ids, weight, seen = sent.value
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
-            for text, judge in zip(batch.column(6).to_pylist(), batch.column(5).to_pylist()):
+            for text, judge in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist()):
                 words = words_of(text)
                 known, tokens = net_tokens(words, ids)
                 values = [tokens.astype(np.uint16).tobytes(), len(known), 0, 0.0, 0, 0.0, []]
@@ -419,9 +419,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 for column, value in zip(columns, values):
                     column.append(value)
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), word)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
 
-    schema = ("doc_id long, turn int, group long, slice int, learn boolean, judge boolean, tokens binary, n_tokens long, n_seen long, head double, n_other long, "
+    schema = ("doc_id long, turn int, group long, learn boolean, judge boolean, tokens binary, n_tokens long, n_seen long, head double, n_other long, "
               "head_other double, rare array<struct<word:string,n:bigint>>")
     return map_arrow(docs, run, schema)
 
@@ -443,8 +443,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
 def dealt(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The columns that ``encoded`` takes, with round and group."""
-    turn, group, part = turn_and_group(-(-vocabulary.tokens // GROUP_TOKENS) or 1)
-    return docs.select("doc_id", turn.alias("turn"), group.alias("group"), part.alias("slice"), "learn", "judge", "text")
+    turn, group = turn_and_group(-(-vocabulary.tokens // GROUP_TOKENS) or 1)
+    return docs.select("doc_id", turn.alias("turn"), group.alias("group"), "learn", "judge", "text")
 
 
 def learned_net(rows: DataFrame, vocabulary: Vocabulary) -> tuple[dict[str, np.ndarray], float]:
@@ -453,7 +453,7 @@ def learned_net(rows: DataFrame, vocabulary: Vocabulary) -> tuple[dict[str, np.n
     A task trains the replica of one group on its texts of the round, in the order of their ids, so the partitions do not matter.
     """
     sc = rows.sparkSession.sparkContext
-    learn = rows.where("learn").select("turn", "group", "slice", "doc_id", "tokens")
+    learn = rows.where("learn").select("turn", "group", "doc_id", "tokens")
     net, squares = flat(initial(vocabulary)), np.full(sum(int(np.prod(s)) for s in SHAPES.values()), START, np.float32)
     tokens_a_round = vocabulary.tokens / (-(-vocabulary.tokens // GROUP_TOKENS) or 1) / ROUNDS
     windows_a_round = max(min(tokens_a_round / (64 * WINDOW), WARM), tokens_a_round / (WINDOW * TRAIN_LANES))
@@ -482,7 +482,7 @@ def learned_net(rows: DataFrame, vocabulary: Vocabulary) -> tuple[dict[str, np.n
         parts = [r["part"] for r in sorted(made.groupBy("chunk").applyInPandas(averaged, schema).collect(), key=lambda r: r["chunk"])]  # one network
         if parts:
             net, squares = np.split(np.concatenate([np.frombuffer(p, np.float32) for p in parts]), 2)
-    return unflat(net), best_mix(learn.where("slice = 0").select("tokens"), unflat(net), vocabulary.counted())
+    return unflat(net), best_mix(learn.select("tokens"), unflat(net), vocabulary.counted())
 
 
 def best_mix(learn: DataFrame, net: dict, counted: np.ndarray) -> float:

@@ -177,3 +177,12 @@ def test_a_mixture_of_network_and_counts_sums_to_one_and_can_leave_the_network_o
     ones = [np.array([w]) for w in (0, 5, lm.NET_WORDS)]
     mixed = lm.score_texts(net, ones, counted, 0.7)
     assert np.allclose(mixed, [np.log(0.7 * np.exp(lm.score_texts(net, [t])[0]) + 0.3 * counted[t[0]]) for t in ones], rtol=1e-5)
+
+
+def test_the_mix_is_judged_on_every_training_text(spark, monkeypatch):
+    seen = []
+    real = lm.best_mix
+    monkeypatch.setattr(lm, "best_mix", lambda learn, net, counted: (seen.append(learn.count()), real(learn, net, counted))[1])
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    lm.score(docs.limit(3), lm.learned(docs)).collect()
+    assert seen == [lm.learned(docs).count()]
