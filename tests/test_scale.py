@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daymark.operators import explain as ex
 from daymark.operators import shift as sh
-from daymark.operators.detectors import Nodes
+from daymark.operators.detectors import LogisticDetector, Nodes, Scaler, spread
 from daymark.operators.metrics import pr_roc
 from daymark.operators.results import CELL
 from daymark.plans import score_grid as sg
@@ -128,3 +128,41 @@ def test_rows_of_permutations_are_not_sent_to_the_driver(spark, monkeypatch):
     found = {r["feature"]: r["importance"] for r in ex.permutation_importance(df, ["p", "q"], lambda x: F.get(x, F.lit(0))).collect()}
     assert set(found) == {"p", "q"} and found["q"] == 0
     assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_scaled_vectors_are_those_of_the_columns(spark):
+    """Also for nulls, NaN, infinities and values beyond the bound; deviation columns are clipped only."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 2.0, 0.5), (2, None, 3.0), (None, nan, -20.0), (4, inf, None), (5, -inf, nan), (600, 1e9, 9.0), (7, -1e9, -0.0)]
+    df = spark.createDataFrame(rows, "p int, q double, dev_p double")
+    scaler = Scaler(["p", "q", "dev_p"], {"p": 3.0, "q": 0.25}, {"p": 1.7, "q": 0.3})
+    for some in (df, df.limit(0)):
+        got = some.select("*", scaler.vectors(), *[scaler.column(c).alias(f"_{c}") for c in scaler.columns]).collect()
+        assert len(got) == some.count()
+        for r in got:
+            assert r["features"].toArray().tolist() == [r["_p"], r["_q"], r["_dev_p"]]
+
+
+def test_logistic_fit_moves_its_rows_once(spark):
+    """The estimator reads its input several times; the rows are scaled and shuffled for the first only, and let go afterwards."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("d", f"u{i}", dt.date(2024, 1, 1), i % 2, float(i % 7), float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "dataset string, user string, day date, label int, p double, q double")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    base = spark.sparkContext._jsc.getPersistentRDDs().size()
+    watched = df.mapInArrow(counted, df.schema)
+    LogisticDetector(columns=["p", "q"]).fit(watched)
+    assert seen.value == 3 * len(rows)  # the class counts, the scale and the fit
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == base
+
+
+def test_partitions_of_a_fit_grow_before_there_are_more(spark):
+    parts = lambda n, most=250_000: spread(spark.range(10), n, most=most).rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    assert parts(1) == 1 and parts(60_000) == 3
+    assert parts(11_000_000) == max(44, 4 * cores) and parts(1_100_000_000) == 4400 and parts(11_000_000, None) == 550
