@@ -103,3 +103,18 @@ def test_nulls_and_weights_from_outside(rows):
     fitted = de.ForestDetector(trees=5, depth=3, columns=COLS).fit(train.withColumn("extra_weight", F.lit(0.5)))
     assert splits(fitted) == splits(de.ForestDetector(trees=5, depth=3, columns=COLS).fit(train.withColumn("extra_weight", F.lit(1.0))))
     assert fitted.score(train).filter("score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
+def test_parts_and_sent_rows_do_not_grow_with_the_table(rows, monkeypatch):
+    parts = []
+    real = fo.blocks
+    monkeypatch.setattr(fo, "blocks", lambda df, cols, edges, n: (parts.append(n), real(df, cols, edges, n))[1])
+    monkeypatch.setattr(de.ForestDetector, "per_task", 10)  # 150 parts of so few rows
+    de.ForestDetector(trees=2, depth=2, columns=COLS).fit(rows.filter("dataset = 'a'"))
+    assert parts == [4 * rows.sparkSession.sparkContext.defaultParallelism]
+    monkeypatch.setattr(fo, "SMALL", 1000)
+    assert fo.small_rows(1000) == 1000 and fo.small_rows(100_000) == 10
+    nodes = [(9.0, 4 + i) for i in range(200)] + [(11.0, 3)]
+    apart, sent = fo.sent_apart(nodes, fo.small_rows(100_000), 0.0)
+    assert len(apart) == 111 and 3 not in apart and sent == 999
+    assert fo.sent_apart(nodes, fo.small_rows(100_000), sent) == (set(), sent)
