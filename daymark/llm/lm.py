@@ -276,14 +276,16 @@ def mixed_scores(net: dict, texts: list[np.ndarray], counted: np.ndarray | None,
     longest = max(map(len, texts), default=1)
     lanes = max(128, min(LANES, sum(map(len, texts)) // longest))  # more would wait for the longest text
     state = np.zeros((min(lanes, len(texts)), STATE), net["over"].dtype)
-    for running, x, y, fresh, number in windows(texts, lanes, WINDOW):
+    window = WINDOW * max(1, LANES // lanes)  # few lanes take longer windows, so that the softmaxes have as many rows
+    for running, x, y, fresh, number in windows(texts, lanes, window):
         states, state = run_window(net, x, fresh, state[:running])
         real = number.ravel() >= 0
         targets, who = y.ravel()[real], number.ravel()[real]
         chances = log_chances(net, states.reshape(-1, STATE)[real], targets)
+        if counted is not None:
+            own, plain = np.exp(chances), counted.take(targets)
         for row, mix in zip(total, mixes):
-            own = chances if mix == 1 else np.log(mix * np.exp(chances) + (1 - mix) * counted[targets])
-            row += np.bincount(who, own, minlength=len(texts))
+            row += np.bincount(who, chances if mix == 1 else np.log(mix * own + (1 - mix) * plain), minlength=len(texts))
     return total
 
 

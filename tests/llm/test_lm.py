@@ -186,3 +186,15 @@ def test_the_mix_is_judged_on_every_training_text(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     lm.score(docs.limit(3), lm.learned(docs)).collect()
     assert seen == [lm.learned(docs).count()]
+
+
+def test_few_lanes_take_longer_windows(monkeypatch):
+    net, _ = net_and_texts()
+    text = np.random.default_rng(4).integers(0, 60, 4000)
+    calls = []
+    real = lm.log_chances
+    monkeypatch.setattr(lm, "log_chances", lambda net, states, targets: (calls.append(len(targets)), real(net, states, targets))[1])
+    got = lm.score_texts(net, [text])[0]
+    assert sum(calls) == 4000 and len(calls) <= 16
+    states, _ = lm.run_window(net, np.concatenate([[0], text[:-1]])[:, None], np.arange(4000)[:, None] == 0, np.zeros((1, lm.STATE), np.float32))
+    assert got == pytest.approx(real(net, states[:, 0], text).sum(), rel=1e-5)
