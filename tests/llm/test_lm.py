@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from daymark.llm import lm
@@ -198,3 +199,89 @@ def test_few_lanes_take_longer_windows(monkeypatch):
     assert sum(calls) == 4000 and len(calls) <= 16
     states, _ = lm.run_window(net, np.concatenate([[0], text[:-1]])[:, None], np.arange(4000)[:, None] == 0, np.zeros((1, lm.STATE), np.float32))
     assert got == pytest.approx(real(net, states[:, 0], text).sum(), rel=1e-5)
+
+
+ODD = ["", " a  b ", " \t ", "\x0bA\x0cB\x1cc\x85d \xa0E\u0130\u2003x", None, "a\rb\nc ", "\x00 z", "\x1f\x1e y", "\xc9 \xc9a"]
+
+
+def test_words_are_split_alike_in_arrow(monkeypatch):
+    for size in (1 << 24, 4):  # in one slice and text by text
+        monkeypatch.setattr(lm, "SLICE", size)
+        found = [[] for _ in ODD]
+        for at, texts in lm.slices(pa.array(ODD, pa.string())):
+            words, text = lm.split_texts(texts)
+            for word, i in zip(words.to_pylist(), text):
+                found[at + i].append(word.encode())
+        assert found == [lm.words_of(t) for t in ODD]
+
+
+def test_chances_equal_the_plain_formula():
+    net, _ = net_and_texts()
+    rng = np.random.default_rng(5)
+    net = {k: v + rng.standard_normal(v.shape).astype(np.float32) for k, v in net.items()}
+    targets = np.concatenate([rng.integers(0, lm.NET_WORDS + 1, 900), np.full(70, 3), [lm.NET_WORDS] * 5])
+    states = rng.uniform(-1, 1, (len(targets), lm.STATE)).astype(np.float32)
+    for lift in (0, 300):
+        net["class_bias"][5], net["word_bias"][:, 7] = lift, lift
+        want = []
+        for s, w in zip(states.astype(np.float64), targets):
+            logits = s @ net["class"] + net["class_bias"]
+            chance = logits[min(w // lm.CLASS, lm.CLASSES)] - np.logaddexp.reduce(logits)
+            if w < lm.NET_WORDS:
+                logits = s @ net["word"][w // lm.CLASS] + net["word_bias"][w // lm.CLASS]
+                chance += logits[w % lm.CLASS] - np.logaddexp.reduce(logits)
+            want.append(chance)
+        assert np.allclose(lm.log_chances(net, states, targets), want, rtol=1e-4, atol=1e-4)
+
+
+def test_rare_classes_share_products(monkeypatch):
+    net, _ = net_and_texts()
+    targets = np.random.default_rng(6).integers(0, lm.NET_WORDS + 1, 2000)
+    calls = []
+    real = lm.softmax_parts
+    monkeypatch.setattr(lm, "softmax_parts", lambda *a: (calls.append(1), real(*a))[1])
+    lm.log_chances(net, np.zeros((2000, lm.STATE), np.float32), targets)
+    assert len(calls) <= 10  # one a class would be 65
+
+
+def test_pieces_add_up_to_their_texts():
+    net, texts = net_and_texts()
+    counted = np.full(lm.NET_WORDS + 1, 1 / (lm.NET_WORDS + 1))
+    whole = lm.mixed_scores(net, texts, counted, lm.GRID)
+    n = lm.pieces_of(texts, 16)
+    pieces = lm.mixed_scores(net, texts, counted, lm.GRID, 16)
+    assert pieces.shape == (len(lm.GRID), n.sum()) and n.max() > 2
+    assert np.allclose(np.add.reduceat(pieces, np.cumsum(n) - n, axis=1), whole)
+    sizes = [len(t[at : at + 16]) for t in texts for at in range(0, len(t), 16)]
+    assert np.allclose(pieces[0], np.log(counted[0]) * np.array(sizes))
+
+
+def test_the_trained_network_is_run_once_over_a_text(spark, monkeypatch):
+    sizes = []
+    real = lm.map_arrow
+    monkeypatch.setattr(lm, "map_arrow", lambda df, run, schema: (sizes.append((df.count(), df.columns)), real(df, run, schema))[1])
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    lm.score_learned(docs, lm.learning()).collect()
+    assert [n for n, columns in sizes if "tokens" in columns] == [docs.count()]
+
+
+def test_the_mix_is_the_surest_of_a_plain_count(spark):
+    docs = spark.createDataFrame(corpus(300, 8), "doc_id long, text string")
+    vocabulary = lm.Vocabulary(lm.word_counts(docs))
+    rows = docs.selectExpr("doc_id", "text", "doc_id % 3 > 0 AS learn", "true AS judge").fillna(False, ["learn"])
+    rows = lm.table(lm.encoded(lm.dealt(rows, vocabulary), vocabulary).withColumn("row", lm.F.monotonically_increasing_id()), "rows")
+    net, counted = lm.learned_net(rows, vocabulary), vocabulary.counted()
+    runs = lm.table(lm.run_texts(rows, net, counted), "runs")
+    kept = {r["row"]: r for r in rows.collect()}
+    pieces = []
+    for r in runs.collect():
+        text = lm.numbers(kept[r["row"]]["tokens"])
+        assert np.allclose(r["net"], lm.mixed_scores(net, [text], counted, lm.GRID)[:, 0] / np.log(10), rtol=1e-4)
+        if kept[r["row"]]["learn"]:
+            sizes = np.array([len(text[at : at + lm.JUDGED]) for at in range(0, len(text), lm.JUDGED)])
+            found = lm.mixed_scores(net, [text], counted, lm.GRID, lm.JUDGED) / sizes
+            pieces.append(found - found[0])
+    gains = np.concatenate(pieces, axis=1)
+    sure = gains.mean(axis=1) - gains.std(axis=1) / math.sqrt(gains.shape[1])
+    best = lm.best_mix(runs.where("learn"), "gain", "square")
+    assert sure[lm.GRID.index(best)] == pytest.approx(sure.max(), abs=1e-5)
