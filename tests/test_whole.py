@@ -1,10 +1,19 @@
 """Jobs that take all their rows and keep to their limits."""
 
+import datetime as dt
+import os
+import threading
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from daymark.operators import results as rs
+from daymark.operators import sequences as sq
 from daymark.operators import shift as sh
-from daymark.operators.detectors import LogisticDetector
+from daymark.operators.detectors import LogisticDetector, gathered
+from daymark.plans import protocols as pr
+from daymark.schema import COUNT_COLUMNS
+from daymark.session import co_partitioned, fixed, shared_dir, work_path
 
 
 def test_domain_classifier_is_fitted_on_all_rows(spark):
@@ -49,3 +58,75 @@ def test_pairs_share_the_rows_of_a_domain(spark):
     got = sh.linear_folds(df, members, ["cnt_a"], 5).collect()
     assert sorted((r["cell"], r["label"]) for r in got) == [(0, 0)] * 20 + [(0, 1)] * 20 + [(1, 0)] * 30
     assert {r["score"] for r in got if r["cell"] == 1} == {0.0}
+
+
+def table(spark, n=400, domains=("a", "b", "c")):
+    rng = np.random.default_rng(3)
+    rows = [(d, f"{d}{i % 40}", dt.date(2024, 1, 1) + dt.timedelta(i // 40), int(rng.random() < 0.3), i) for d in domains for i in range(n)]
+    df = spark.createDataFrame(rows, "dataset string, user string, day date, label int, i int")
+    return df.select("*", (F.col("label") + F.rand(5)).alias("cnt_a"), F.rand(6).alias("cnt_b")).drop("i")
+
+
+def test_jobs_that_differ_in_an_unused_seed_are_fitted_once(spark):
+    """Seeds 0 and 1 share the fits of the protocols that do not split users; a detector that holds its seed shares none."""
+    fits = []
+
+    class Counted:
+        def fit(self, train):
+            fits.append(1)
+            return LogisticDetector(columns=["cnt_a", "cnt_b"], max_iter=5).fit(train)
+
+    class Seeded(Counted):
+        def __init__(self, seed):
+            self.seed = seed
+
+    rows = fixed(table(spark, domains=("a", "b")))
+    grid = rs.job_grid(spark, ["lr"], ["a", "b"], [0, 1])
+    out = pr.run_grid(spark, rows, grid, {"lr": lambda seed: Counted()}, work_path(spark, "grid-shared"))
+    assert len(fits) == 2 * (1 + 1 + 2) and out.select(*rs.CELL).distinct().count() == 12 == out.count()
+    wide = {tuple(r[:5]): (r["pr_auc"], r["n"]) for r in out.select(*rs.CELL, "pr_auc", "n").collect()}
+    assert all(v == wide[(*k[:4], 1 - k[4])] for k, v in wide.items() if k[3] != "user_disjoint")
+    fits.clear()
+    pr.run_grid(spark, rows, grid, {"lr": Seeded}, work_path(spark, "grid-seeded"))
+    assert len(fits) == 12
+
+
+def test_ablation_leaves_no_scored_rows_behind(spark):
+    """The folder grows by the tables of the cells, and not by the scored rows of every fit."""
+    rows = fixed(table(spark))
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    out = pr.ablation(rows, ["a", "b", "c"], {"one": ["cnt_a"], "both": ["cnt_a", "cnt_b"]})
+    assert out.count() == 12 and out.filter("model = 'both' and delta_to_full = 0").count() == 6
+    assert {x.split("-")[1] for x in set(os.listdir(root)) - before if x.startswith("daymark")} <= {"ablation", "table"}
+    assert sum(x.startswith("daymark-table") for x in set(os.listdir(root)) - before) == 1
+
+
+def test_many_rows_are_fitted_without_a_shuffle(spark):
+    plan = lambda n: gathered(spark.range(0, 100, 1, 64), n, most=250_000)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan(1000) and "Exchange" not in plan(1_000_000) and "Coalesce" in plan(1_000_000)
+
+
+def test_memory_features_move_narrow_rows_once(spark):
+    """No host profile goes through a shuffle, and the last join moves neither side."""
+    features = spark.createDataFrame([], "dataset string, user string, day date, " + ", ".join(f"{c} long" for c in COUNT_COLUMNS))
+    events = spark.createDataFrame([], "dataset string, user string, day date, dst_host string, action string")
+    with co_partitioned(spark):
+        plan = sq.memory_features(events, features)._jdf.queryExecution().executedPlan().toString()
+    by_day = [line for line in plan.split("\n") if "Exchange hashpartitioning(dataset" in line and "day#" in line]
+    assert len(by_day) == 1 and "host#" in by_day[0] and "BroadcastHashJoin" in plan  # the distinct pairs of user-day and host
+
+
+def test_transfer_fits_run_side_by_side(spark):
+    """Two fits are under way together, and the cells are those of fits in series."""
+    barrier = threading.Barrier(2, timeout=60)
+
+    class Waits:
+        def fit(self, train):
+            barrier.wait()
+            return LogisticDetector(columns=["cnt_a", "cnt_b"], max_iter=5).fit(train)
+
+    rows = fixed(table(spark, domains=("a", "b")))
+    out = pr.transfer_predictions(rows, ["a", "b"], "lr", lambda seed: Waits(), protocols=("temporal",), workers=2)
+    assert {tuple(r) for r in out.select("source", "target", "protocol").distinct().collect()} == {
+        ("a", "b", "full_source"), ("b", "a", "full_source"), ("a", "a", "temporal"), ("b", "b", "temporal")}
