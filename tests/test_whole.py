@@ -5,8 +5,10 @@ import os
 import threading
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from daymark.operators import explain as ex
 from daymark.operators import results as rs
 from daymark.operators import sequences as sq
 from daymark.operators import shift as sh
@@ -14,6 +16,7 @@ from daymark.operators.detectors import LogisticDetector, gathered
 from daymark.plans import protocols as pr
 from daymark.schema import COUNT_COLUMNS
 from daymark.session import co_partitioned, fixed, shared_dir, work_path
+from daymark.streaming import deviation as dv
 
 
 def test_domain_classifier_is_fitted_on_all_rows(spark):
@@ -130,3 +133,79 @@ def test_transfer_fits_run_side_by_side(spark):
     out = pr.transfer_predictions(rows, ["a", "b"], "lr", lambda seed: Waits(), protocols=("temporal",), workers=2)
     assert {tuple(r) for r in out.select("source", "target", "protocol").distinct().collect()} == {
         ("a", "b", "full_source"), ("b", "a", "full_source"), ("a", "a", "temporal"), ("b", "b", "temporal")}
+
+
+def test_importance_in_turns_is_that_of_one_turn(spark, monkeypatch):
+    """Few scores a turn: the same importances, and no working tables of earlier turns."""
+    rows = fixed(table(spark, 60, ("a", "b")))
+    score = lambda x: F.get(x, F.lit(0)) + 0.3 * F.get(x, F.lit(1))
+    get = lambda: {(r["dataset"], r["feature"]): round(r["importance"], 12) for r in ex.permutation_importance(rows, ["cnt_a", "cnt_b"], score).collect()}
+    whole = get()
+    root = shared_dir(spark).removeprefix("file:")
+    for at_once, turns in ((130, 10), (300, 5), (500, 3)):
+        monkeypatch.setattr(ex, "TURN", at_once)
+        before = set(os.listdir(root))
+        assert get() == whole and len(whole) == 4
+        made = [x for x in set(os.listdir(root)) - before if x.startswith("daymark")]
+        assert sum(x.startswith("daymark-importance") for x in made) == turns and len(made) <= turns + 3
+
+
+def test_integrity_moves_a_user_day_once(spark, monkeypatch):
+    """Equal to counting every cell, also for nulls, many cells and repeated user-days; without repeats nothing is counted cell by cell."""
+    def plain(rows):
+        per = {}
+        for *cell, user, day, score, label in rows:
+            per.setdefault(tuple(cell), {}).setdefault((user, day), []).append((score, label))
+        bad = lambda s: s is None or s != s or abs(s) == float("inf")
+        out = {}
+        for cell, days in per.items():
+            labels = [max((x for _, x in v if x is not None), default=None) for v in days.values()]
+            n_bad = sum(bad(s) for v in days.values() for s, _ in v)
+            repeated = sum(len(v) > 1 for v in days.values())
+            known = [x for x in labels if x is not None]
+            out[cell] = (sum(map(len, days.values())), sum(known) if known else None, n_bad, repeated, not n_bad and not repeated)
+        return out
+
+    names = "model string, source string, target string, protocol string, seed int, user string, day int, score double, label int"
+    rows = [(m, "s", t, "p", s, f"u{u}" if u else None, u % 3, float("inf") if u == 5 else u / 7, u % 2 if u != 4 else None)
+            for m in ("a", "b", None) for t in ("x", None) for s in range(20) for u in range(6)]
+    rows += [r for r in rows if r[4] == 3 and r[0] != "b"] + [(*r[:-1], 1) for r in rows if r[4] == 4 and r[0] is None]
+    got = {tuple(r)[:5]: tuple(r)[5:] for r in rs.integrity(spark.createDataFrame(rows, names)).collect()}
+    assert got == plain(rows) and len(got) == 120
+    plans = []
+    single = spark.createDataFrame(sorted(set(rows), key=repr)[:0] + [r for r in rows if r[0] == "b" and r[4] < 3], names)
+    found = rs.integrity(single)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert "user" not in plans[0] and found.filter("n_repeated > 0").isEmpty()
+
+
+def test_days_of_many_users_in_batches(spark):
+    """Bucketed state in bytes: users of unequal length, a null user and new users in a later batch; a late day stops the stream."""
+    import pandas as pd
+
+    class State:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(2)
+    days = pd.DataFrame([("d", u, dt.date(2024, 1, 1) + dt.timedelta(k), *rng.normal(size=2)) for i, u in enumerate(["a", None, "b", "c", "dd"]) for k in range(i, 3 + 4 * i)],
+                        columns=["dataset", "user", "day", "x", "y"]).sample(frac=1, random_state=0)
+    late = days["day"] > dt.date(2024, 1, 5)
+    p = dv.EarlierDays(["x", "y"])
+    p.state = State()
+    found = pd.concat([next(p.handleInputRows(("d", 0), iter([part]), None)) for part in (days[~late], days[late])])
+    assert all(isinstance(v, bytes) for v in p.state.value[1:])
+    for u, g in days.groupby("user", dropna=False):
+        g = g.sort_values("day")
+        mine = found[found["user"].isna()] if pd.isna(u) else found[found["user"] == u]
+        assert mine["day"].tolist() == g["day"].tolist()
+        for c in ("x", "y"):
+            v = g[c].to_numpy()
+            want = [0.0, *[(v[k] - v[:k].mean()) / (v[:k].std() + 1e-6) for k in range(1, len(v))]]
+            assert np.allclose(mine[f"dev_{c}"], want, atol=1e-6, rtol=1e-6)
+    with pytest.raises(ValueError, match="arrived after"):
+        next(p.handleInputRows(("d", 0), iter([days[~late]]), None))
