@@ -26,46 +26,57 @@ BUCKETS = 4096
 class EarlierDays(StatefulProcessor):
     """Per user of a bucket: number of days seen, the first day's values, sums and squares of the differences to them, and the last day.
 
-    Differences to the user's first values keep constant features exact. State is read and written once per bucket and batch, not per user.
+    Differences to the user's first values keep constant features exact. State is read and written once per bucket and batch, as blocks of bytes, and the
+    days are taken for all users of the bucket together.
     """
 
     def __init__(self, columns: Sequence[str]):
         self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stats", "users array<string>, n array<long>, sums array<double>, last array<date>")
+        self.state = handle.getValueState("stats", "users array<string>, n binary, sums binary, last binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         width = len(self.columns)
-        known: dict = {}
+        known, n, sums, last = pd.Index([], dtype=object), np.zeros(0, np.int64), np.zeros((0, 3, width)), np.zeros(0, "datetime64[D]")
         if self.state.exists():
-            users, seen, sums, last = self.state.get()
-            parts = np.array(sums, dtype=float).reshape(len(users), 3, width)  # first values, sums, squares
-            known = {u: (int(n), *p, d) for u, n, p, d in zip(users, seen, parts, last)}
+            users, *numbers = self.state.get()
+            n, sums, last = (np.frombuffer(v, t).copy() for v, t in zip(numbers, (np.int64, np.float64, np.int64)))
+            last = last.view("datetime64[D]")
+            known, sums = pd.Index(users, dtype=object), sums.reshape(len(n), 3, width)  # first values, sums, squares
         days = pd.concat(list(rows), ignore_index=True)
         codes, names = pd.factorize(days["user"], use_na_sentinel=False)
         days = days.iloc[np.lexsort((pd.to_datetime(days["day"]).to_numpy(), codes))].reset_index(drop=True)
         ends = np.cumsum(np.bincount(codes, minlength=len(names)))
-        x, dates = days[self.columns].to_numpy(dtype=float), days["day"].to_numpy()
-        out = np.zeros_like(x)
-        for name, start, end in zip(names, [0, *ends[:-1]], ends):
-            name = None if pd.isna(name) else name
-            if name in known:
-                n, base, total, squares, last = known[name]
-                if dates[start] <= last:
-                    raise ValueError(f"day {dates[start]} of {(key[0], name)} arrived after {last}")
-            else:
-                n, base = 0, x[start]
-                total = squares = np.zeros(width)
-            off = x[start:end] - base
-            sums, sums2 = total + np.cumsum(off, axis=0), squares + np.cumsum(off * off, axis=0)
-            seen = n + np.arange(end - start)[:, None]
-            mean = np.vstack([total, sums[:-1]]) / np.maximum(seen, 1)
-            spread = np.sqrt(np.maximum(np.vstack([squares, sums2[:-1]]) / np.maximum(seen, 1) - mean * mean, 0.0))
-            out[start:end] = np.where(seen > 0, (off - mean) / (spread + 1e-6), 0.0)
-            known[name] = (n + int(end - start), base, sums[-1], sums2[-1], dates[end - 1])
-        numbers = np.array([[base, total, squares] for _, base, total, squares, _ in known.values()]).ravel().tolist()
-        self.state.update((list(known), [v[0] for v in known.values()], numbers, [v[4] for v in known.values()]))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        x, dates = days[self.columns].to_numpy(dtype=float), pd.to_datetime(days["day"]).to_numpy().astype("datetime64[D]")
+        names = pd.Index([None if pd.isna(u) else u for u in names], dtype=object)
+        at = known.get_indexer(names)  # the place of each user in the state
+        for i in np.flatnonzero((at >= 0) & (dates[starts] <= last[at])) if len(last) else ():
+            raise ValueError(f"day {dates[starts[i]]} of {(key[0], names[i])} arrived after {last[at[i]]}")
+        new = np.flatnonzero(at < 0)
+        at[new] = len(known) + np.arange(len(new))
+        known, n, last = known.append(names[new]), np.append(n, np.zeros(len(new), np.int64)), np.append(last, dates[starts[new]])
+        first = np.zeros((len(new), 3, width))
+        first[:, 0] = x[starts[new]]
+        sums = np.concatenate([sums, first])
+        out, run = np.zeros_like(x), np.zeros((len(names), 2, width))  # what this batch adds
+        order = np.argsort(starts - ends, kind="stable")  # users with most days first
+        lengths = (ends - starts)[order]
+        for k in range(int(lengths[0]) if len(lengths) else 0):  # the k-th day of all users that have one
+            some = order[: np.searchsorted(-lengths, -k, side="left")]
+            here, row = at[some], starts[some] + k
+            base, total, squares = sums[here, 0], sums[here, 1] + run[some, 0], sums[here, 2] + run[some, 1]
+            seen, off = n[here][:, None], x[row] - base
+            mean = total / np.maximum(seen, 1)
+            spread = np.sqrt(np.maximum(squares / np.maximum(seen, 1) - mean * mean, 0.0))
+            out[row] = np.where(seen > 0, (off - mean) / (spread + 1e-6), 0.0)
+            run[some, 0] += off
+            run[some, 1] += off * off
+            n[here] += 1
+        sums[at, 1:] += run
+        last[at] = dates[ends - 1]
+        self.state.update((known.tolist(), n.tobytes(), sums.tobytes(), last.astype(np.int64).tobytes()))
         result = days[["dataset", "user", "day"]].copy()
         for j, c in enumerate(self.columns):
             result[f"dev_{c}"] = out[:, j]
